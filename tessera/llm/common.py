@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,3 +65,15 @@ def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, sprea
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null counts as the text 'null'."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("null"))) % n
+
+
+def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

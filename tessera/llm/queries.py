@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .byte_bpe import bpe
+from .common import crc_mod, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id(docs, learn=crc_mod(F.col("doc_id"), 5) != 0, carry=["doc_id"])
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "bits_per_symbol")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"])
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
@@ -23,7 +38,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 
