@@ -1,6 +1,73 @@
-STAGES = []
+"""The corpus pipeline: each stage takes all rows its predecessor kept and is written as Parquet."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.byte_bpe import bpe
+from tessera.llm.common import crc_mod, table
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.language_id import UNKNOWN, language_id
+from tessera.llm.near_dedup import drop_near_duplicates
+
+#: A text that resembles a learned language needs 2 to 8 bits a symbol; letters of an unknown script need about 16.
+MAX_BITS = 10.0
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is in a learned language; texts without letters and in unknown scripts go."""
+    found = language_id(docs.select(*docs.columns), learn=crc_mod(F.col("doc_id"), 5) != 0)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_symbol") <= MAX_BITS)).select(*docs.columns)
+
+
+def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts, the one with the least doc_id."""
+    return exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the row with the least doc_id."""
+    return drop_near_duplicates(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of the benchmark."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their token ids, and whether decoding gives the text back."""
+    coded = bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("exact_dedup", keep_first_copy),
+    ("near_dedup", keep_one_of_class),
+    ("decontaminate", keep_clean),
+    ("byte_bpe", encode),
+]
+
+#: SQL can express neither the language model nor BPE; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the cluster's shared folder and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-pipeline-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

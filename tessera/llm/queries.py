@@ -13,6 +13,7 @@ from .common import crc_mod, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .near_dedup import near_dedup
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_shingles", "kept")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
