@@ -14,9 +14,33 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .near_dedup import near_dedup
+from .revisit import resolve_revisits
+from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 
 
+def warc_records(pages: DataFrame) -> DataFrame:
+    """Captures as records, made from pages: each page is a full response at one time and not modified at a later one.
+
+    Ten pages make a period of a site section, so that the URLs of a host and language meet; every
+    seventh revisit has another etag, every eleventh has no validator and every thirteenth comes first.
+    """
+    url = F.regexp_replace("url", r"/\d+([^/]*)$", "/")
+    etag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16), F.lit('"'))
+    day = F.col("page_id") * 100
+    response = pages.select((F.col("page_id") * 2).alias("record_id"), url.alias("url"), F.lit("response").alias("kind"), day.alias("ts"), F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), day.cast("string")).alias("headers"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
+    seen = F.when(F.col("page_id") % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), etag))
+    later = F.when(F.col("page_id") % 13 == 0, day - 1).otherwise(day + 50)
+    headers = F.when(F.col("page_id") % 11 == 0, F.create_map(F.lit("date"), later.cast("string"), F.lit("content-length"), F.lit("0"))).otherwise(F.create_map(F.lit("etag"), seen, F.lit("date"), later.cast("string"), F.lit("content-length"), F.lit("0")))
+    revisit = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), url.alias("url"), F.lit("revisit").alias("kind"), later.alias("ts"), headers.alias("headers"), F.lit(None).cast("string").alias("digest"))
+    return response.unionByName(revisit)
+
+
+def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(warc_records(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "url_key", "ts", "base_id", "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"), F.size(F.map_keys("headers")).alias("n_headers"), "digest")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id(docs, learn=crc_mod(F.col("doc_id"), 5) != 0, carry=["doc_id"])
@@ -27,6 +51,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_key")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,8 +78,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisit": op1_warc_revisit,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
@@ -58,6 +89,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_revisit": r"""
+        WITH p AS (SELECT page_id, regexp_replace(url, '/\d+([^/]*)$', '/') AS url, sha256(coalesce(html, '')) AS digest FROM pages),
+        c AS (SELECT page_id, digest, '"' || substr(digest, 1, 16) || '"' AS etag, page_id * 100 AS day,
+                     CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+                       lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
+                       regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), CASE WHEN lower(url) LIKE 'http:%' THEN ':80$' WHEN lower(url) LIKE 'https:%' THEN ':443$' ELSE ':21$' END, '') ||
+                       coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') ||
+                       regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END AS url_key
+              FROM p),
+        r AS (SELECT page_id * 2 AS record_id, url_key, day AS ts, etag, digest, CAST(day AS VARCHAR) AS date FROM c),
+        v AS (SELECT page_id * 2 + 1 AS record_id, url_key, CASE WHEN page_id % 13 = 0 THEN day - 1 ELSE day + 50 END AS ts,
+                     CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"other"' ELSE 'W/' || etag END AS etag FROM c),
+        j AS (SELECT v.*, max_by(struct_pack(record_id := r.record_id, etag := r.etag, digest := r.digest), [r.ts, r.record_id]) AS b
+              FROM v LEFT JOIN r ON r.url_key = v.url_key AND (r.ts < v.ts OR r.ts = v.ts AND r.record_id < v.record_id)
+              GROUP BY v.record_id, v.url_key, v.ts, v.etag),
+        s AS (SELECT *, CASE WHEN url_key IS NULL THEN 'bad_url' WHEN b.record_id IS NULL THEN 'no_response' WHEN regexp_replace(etag, '^W/', '') <> b.etag THEN 'validator_mismatch'
+                             WHEN etag IS NOT NULL THEN 'resolved' ELSE 'no_validator' END AS status FROM j)
+        SELECT record_id, url_key, ts, b.record_id AS base_id, status, CASE WHEN status = 'resolved' THEN etag END AS etag,
+               CASE WHEN status = 'resolved' THEN CAST(ts AS VARCHAR) END AS date, CASE WHEN status = 'resolved' THEN 'text/html' END AS content_type,
+               CASE WHEN status = 'resolved' THEN 3 END AS n_headers, CASE WHEN status = 'resolved' THEN b.digest END AS digest
+        FROM s""",
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
