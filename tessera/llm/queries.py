@@ -14,9 +14,11 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .near_dedup import near_dedup
+from .quality import quality_scores
 from .revisit import resolve_revisits
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
@@ -51,6 +53,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), model_path or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=crc_mod(F.col("doc_id"), 3) != 1)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shard_by_bytes(table(spark, sf_dir, "documents"), 16)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_key")
@@ -81,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisit": op1_warc_revisit,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
