@@ -39,7 +39,11 @@ def stable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    # a checkpoint inherits the size estimate of its plan, a product over joins whose digits double in
+    # each round of an iteration; its rows as a new relation start anew
+    rows = kept.queryExecution().toRdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, kept.schema(), False), df.sparkSession)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
