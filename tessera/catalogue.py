@@ -1,12 +1,17 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalogue_pages, catalogue_search, catalogue_votes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalogue_votes.QUERIES, **catalogue_pages.QUERIES, **catalogue_search.QUERIES}
+ORACLE_SQL: dict[str, str] = {**catalogue_votes.ORACLE_SQL, **catalogue_pages.ORACLE_SQL, **catalogue_search.ORACLE_SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Pages to search results: extraction, chunks, postings, BM25."""
+    return catalogue_search.page_search(spark, sf_dir)
