@@ -11,7 +11,7 @@ from .functions.hashing import fnv1a_64, hash_embed, source_hash, to_hex
 from .functions.html import page
 from .functions.sniff import looks_like_html
 from .functions.text import body_of, chunks, highlight_terms, host_label, tokens, truncate
-from .functions.vectors import centroids, cosine_distance, dequantize_int8, int8_scale, quantize_binary, quantize_int8, signs, similarity, vector_bytes
+from .functions.vectors import centroids, dequantize_int8, int8_scale, quantize_binary, quantize_int8, signs, similarity, top_k_many, vector_bytes
 from .operators.extract import Registry
 from .operators.frontier import Frontier
 from .operators.graph import Graph, link_degree, personalized_pagerank
@@ -62,13 +62,10 @@ def vector_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of each of the queries (ids divisible by 100), which are all met with all rows in one pass."""
+    """The ten nearest of every query (ids divisible by 100) among all rows."""
     rows = _vectors(spark, sf_dir)
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = rows.join(F.broadcast(queries.limit(10_000)), F.lit(True)).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("q")).alias("d"))
-    best = near.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(32)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, 10).alias("x"))
-    top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, 10).alias("x"))
-    return top.select("query_id", F.posexplode("x").alias("rank", "x")).select("query_id", "rank", "x.vec_id", F.round(similarity(F.col("x.d")), 6).alias("score"))
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return top_k_many(rows, queries, 10, "vec_id", "embedding").select("query_id", "rank", "vec_id", F.round(similarity(F.col("distance")), 6).alias("score"))
 
 
 def quantize_int8_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
