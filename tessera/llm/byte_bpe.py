@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship, slices
+from .common import ship, text_slices, worker_model
 
 #: No pair, or a place after the end of a piece.
 NONE = np.int32(2**31 - 1)
@@ -63,7 +63,7 @@ class PairTable:
 class Codec:
     """Encodes as the tiktoken library does with the same ranks and pattern, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, cache_size: int = 600_000):
+    def __init__(self, path: str, pattern: str, cache_size: int = 300_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
@@ -182,15 +182,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
-
-
 def bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Encode whole texts, then decode the ids again.
 
@@ -204,11 +195,10 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     names = [c for c in (docs.columns if carry is None else carry) if c not in own]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = worker_model(("byte_bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            for a, b in slices(texts):
-                ids = c.encode_batch(texts[a:b])
+            for a, b, texts in text_slices(batch.column("__text")):
+                ids = c.encode_batch(texts)
                 part = batch.slice(a, b - a)
                 new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([c.decode(x) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *new], names=[*(f"__c{k}" for k in range(len(names))), *own])

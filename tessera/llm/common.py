@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +88,29 @@ def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_slices(column: pa.Array, chars: int = 1_500_000) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows with about so many bytes, and their texts; only one range's texts are made at a time. A null is an empty text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + chars, side="right")))
+        yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
+        start = end
+
+
+_models: dict[Hashable, Any] = {}
+
+
+def worker_model(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A Python worker's one loaded model: kept from task to task, given up for the next one."""
+    if key not in _models:
+        _models.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give the pages of the old model back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        pa.default_memory_pool().release_unused()
+        _models[key] = make()
+    return _models[key]

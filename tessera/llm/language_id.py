@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, text_slices, worker_model
 
 UNKNOWN = "und"
 #: Symbol 0 is the gap between words; letters that aren't in the alphabet share the last symbol.
@@ -153,9 +153,6 @@ class CrossParser:
         return out
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, rows_per_lang: int, max_row_chars: int, chars_per_lang: int) -> dict[str, str]:
     """A bounded sample of labelled rows: about ``rows_per_lang`` whole texts a language, by a hash of the id.
 
@@ -200,14 +197,9 @@ def identify(docs: DataFrame, training: dict[str, str], text_col: str = "text",
     key = hash(tuple(sorted(training.items())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = CrossParser(shared.value)
+        parser = worker_model(("language_id", key), lambda: CrossParser(shared.value))
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            found = []
-            for a, b in slices([t or "" for t in texts]):
-                found += _parsers[key].classify(texts[a:b])
+            found = [x for _, _, texts in text_slices(batch.column("__text")) for x in parser.classify(texts)]
             new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *new], names=[*(f"__c{i}" for i in range(len(names))), *own])
 
@@ -216,6 +208,6 @@ def identify(docs: DataFrame, training: dict[str, str], text_col: str = "text",
     return rows.mapInArrow(run, schema).selectExpr(*(f"`__c{i}` as `{c}`" for i, c in enumerate(names)), *own)
 
 
-def language_id(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, rows_per_lang: int = 80, max_row_chars: int = 20_000, chars_per_lang: int = 60_000) -> DataFrame:
+def language_id(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, rows_per_lang: int = 80, max_row_chars: int = 20_000, chars_per_lang: int = 40_000) -> DataFrame:
     """Learn from the rows where ``learn`` holds, then predict every row; see ``training_sample`` and ``identify``."""
     return identify(docs, training_sample(docs, learn, id_col, text_col, lang_col, rows_per_lang, max_row_chars, chars_per_lang), text_col, carry)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import attach_by_key, ship, slices, stable
+from .common import attach_by_key, ship, stable, text_slices, worker_model
 from .text_hash import ODD, mix, run_hashes, scaled, word_hashes, words_of
 
 
@@ -90,11 +90,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, slots: int, rows:
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = BagMinHash(slots)
+        signer = worker_model(("near_dedup", slots), lambda: BagMinHash(slots))
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts, 1_000_000):
-                bags = [shingles(t, n) for t in texts[a:b]]
+            for a, b, texts in text_slices(batch.column("text"), 1_000_000):
+                bags = [shingles(t, n) for t in texts]
                 sizes = [len(e) for e, _ in bags]
                 owner = np.repeat(np.arange(b - a), sizes)
                 signatures = signer(np.concatenate([e for e, _ in bags]), np.concatenate([c for _, c in bags]), owner, b - a)
@@ -118,7 +117,7 @@ def grams(docs: DataFrame, wanted: DataFrame, text_col: str, n: int, broadcast_r
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in (t for _, _, texts in text_slices(batch.column("text")) for t in texts):
                 e, c = shingles(text, n)
                 nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 out.append(np.sort(mix(np.repeat(e, c) + nth.astype(np.uint64) * ODD)).tobytes())

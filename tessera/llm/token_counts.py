@@ -9,7 +9,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import ship, slices
+from .common import ship, text_slices, worker_model
 
 SPACE = "▁"
 #: An unknown character scores so much less than the worst piece.
@@ -69,7 +69,7 @@ class UnigramCounter:
     only, and the starts of its last piece are tried from left to right, so the longest last piece wins.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]], cache_size: int = 600_000):
+    def __init__(self, pieces: list[tuple[str, float]], cache_size: int = 300_000):
         self.auto = AhoCorasick([p.encode() for p, _ in pieces], [s for _, s in pieces])
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, tuple[int, float]] = {}
@@ -152,9 +152,6 @@ class UnigramCounter:
         return out
 
 
-_counters: dict[str, UnigramCounter] = {}
-
-
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count the tokens of whole texts under the unigram vocabulary of a sentencepiece file.
 
@@ -167,11 +164,9 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _counters:
-            _counters[model_path] = UnigramCounter(vocabulary(model_path))
+        counter = worker_model(("token_counts", model_path), lambda: UnigramCounter(vocabulary(model_path)))
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [x for a, b in slices(texts) for x in _counters[model_path].count(texts[a:b])]
+            found = [x for _, _, texts in text_slices(batch.column("text")) for x in counter.count(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())], names=["id", "n_tokens", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
