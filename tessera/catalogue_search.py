@@ -10,7 +10,7 @@ from .catalogue_votes import table
 from .functions.hashing import fnv1a_64, hash_embed, source_hash, to_hex
 from .functions.html import page
 from .functions.sniff import looks_like_html
-from .functions.text import body_of, chunks, highlight_terms, host_label, tokens, truncate
+from .functions.text import body_of, chunks, format_int, format_storage, format_uptime, highlight_terms, host_label, tokens, truncate
 from .functions.vectors import centroids, dequantize_int8, int8_scale, quantize_binary, quantize_int8, signs, similarity, top_k_many, vector_bytes
 from .operators.extract import Registry
 from .operators.frontier import Frontier
@@ -166,6 +166,12 @@ def ui_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", F.size(F.filter("h", lambda x: x["hit"])).alias("marked"), F.array_join(F.transform("h", lambda x: x["part"]), "").alias("whole"))
 
 
+def ui_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as a client shows them."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", format_int(k * 1_237).alias("count"), format_storage(k % 4_000 + F.lit(0.25)).alias("storage"), format_uptime(k * 61).alias("uptime"))
+
+
 def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole batch from pages to tables, as counts of what it made."""
     ship(spark)
@@ -186,7 +192,7 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(pages.where(looks_like_html(F.col("content_type"), F.col("body"))).agg(F.lit("sniffed").alias("kind"), F.count("*").alias("pages")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_scores, bm25_topk, page_search, vector_centroid, vector_topk_exact, quantize_int8_rows, quantize_binary_rows, fnv_hash, hash_embed_documents, page_hashes, blend_search, fused_search, merged_answer, graph_degree, graph_add_edges, page_rank, stats_rollup, ui_search, ui_labels, build_index, html_pages)}
+QUERIES = {f.__name__: f for f in (bm25_scores, bm25_topk, page_search, vector_centroid, vector_topk_exact, quantize_int8_rows, quantize_binary_rows, fnv_hash, hash_embed_documents, page_hashes, blend_search, fused_search, merged_answer, graph_degree, graph_add_edges, page_rank, stats_rollup, ui_search, ui_labels, ui_numbers, build_index, html_pages)}
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 EDGES = "SELECT 's' || l_suppkey AS src, 's' || l_partkey % 120 AS dst FROM lineitem"
@@ -256,5 +262,8 @@ ORACLE_SQL = {
         SELECT url, round(score, 6) AS score, round(0.9::DOUBLE / row_number() OVER (ORDER BY score DESC, url), 9) AS rank FROM s WHERE hit ORDER BY score DESC, url LIMIT 8""",
     "ui_labels": """
         SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^www[.]', '') AS host, len(regexp_extract_all(url, 'th|example')) AS marked, url AS whole FROM pages""",
+    "ui_numbers": """
+        SELECT o_orderkey, format('{:,}', o_orderkey * 1237) AS count, CASE WHEN o_orderkey % 4000 + 0.25 >= 1024 THEN printf('%.1f GB', (o_orderkey % 4000 + 0.25::DOUBLE) / 1024) ELSE printf('%.0f MB', o_orderkey % 4000 + 0.25::DOUBLE) END AS storage,
+               CASE WHEN o_orderkey * 61 >= 3600 THEN (o_orderkey * 61 // 3600) || 'h ' || (o_orderkey * 61 % 3600 // 60) || 'm' ELSE (o_orderkey * 61 // 60) || 'm' END AS uptime FROM orders""",
     "html_pages": "SELECT 'web' AS kind, count(*) AS pages FROM pages WHERE contains(lower(html[1:512]), '<html') OR contains(lower(html[1:512]), '<!doctype') UNION ALL SELECT 'sniffed', count(*) FROM pages WHERE contains(lower(html[1:512]), '<html') OR contains(lower(html[1:512]), '<!doctype')",
 }

@@ -63,3 +63,18 @@ def highlight_terms(text: Column, query: Column) -> Column:
     pattern = F.when(F.size(terms) > 0, F.concat(F.lit("(?i)"), quoted))
     parts = F.when(pattern.isNotNull(), F.filter(F.split(F.regexp_replace(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit("\u0001$1\u0001")), "\u0001"), lambda p: p != "")).otherwise(F.array(text))
     return F.transform(parts, lambda p: F.struct(p.alias("part"), F.array_contains(terms, F.lower(p)).alias("hit")))
+
+
+def format_int(n: Column) -> Column:
+    """A number rounded half up, with commas."""
+    return F.format_number(F.floor(n + 0.5), 0)
+
+
+def format_storage(megabytes: Column) -> Column:
+    """Megabytes without decimals, or from 1024 on gigabytes with one."""
+    return F.when(megabytes >= 1024, F.concat(F.format_string("%.1f", megabytes / 1024), F.lit(" GB"))).otherwise(F.concat(F.format_string("%.0f", megabytes.cast("double")), F.lit(" MB")))
+
+
+def format_uptime(seconds: Column) -> Column:
+    hours, minutes = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60)
+    return F.when(hours > 0, F.format_string("%dh %dm", hours, minutes)).otherwise(F.format_string("%dm", minutes))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.api import Client
 from tessera.functions.hashing import embed_tokens, url_id
 from tessera.operators import search, stats, trust
 from tessera.operators.frontier import Frontier, modulo, newest_lists, owners
@@ -195,3 +196,16 @@ def test_batch_from_pages_to_tables(spark, tmp_path):
     one = spark.createDataFrame([(1, "new")], "k int, v string")
     assert sorted(r["v"] for r in merge(spark.createDataFrame([(1, "old"), (2, "two")], "k int, v string"), one, "k").collect()) == ["new", "two"]
     assert urls_of(spark, "x").select(F.length(url_id(F.col("url")))).first()[0] == 32
+
+
+def test_client(spark):
+    index = search.Index(spark, docs(spark, ("1", "Rust", "rust book"), ("2", "Bread", "salt")))
+    graph = Graph.empty(spark).add_edges(spark.createDataFrame([("a", "b")], "src string, dst string"))
+    lists = spark.createDataFrame([("l", "Seeds", ["u", "v"])], "id string, name string, urls array<string>")
+    client = Client("n", index, graph, lists, spark.createDataFrame([("p",), ("q",)], "node string"), started_at=5)
+    assert [r["url"][-1] for r in client.search(" rust ").collect()] == ["1"]
+    status = client.node_status(65)
+    assert status["uptime_secs"] == 60 and status["extractors"] == ["web", "retail"] and status["peers_connected"] == 2
+    assert status["subscribed_lists"] == [{"id": "l", "label": "Seeds", "url_count": 2}]
+    total = client.stats().first()
+    assert (total["docs"], total["edges"], total["spaces"], total["lists"], total["peers"], total["postings"]) == (2, 1, 0, 1, 2, 5)
