@@ -89,7 +89,8 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = table(spark, sf_dir, "documents").select("doc_id", hash_embed(DIM)(tokens(F.col("text"))).alias("v"))
-    return rows.select("doc_id", F.transform("v", lambda x: F.round(x.cast("double"), 5)).alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select("doc_id", F.array_join(F.transform("v", lambda x: F.signum(x).cast("int").cast("string")), ",").alias("signs"), F.round(length, 3).alias("length"))
 
 
 def page_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +224,12 @@ ORACLE_SQL = {
         SELECT vec_id, lower(array_to_string(list_transform(range(0, len(embedding) // 8), lambda k: right('0' || to_hex(CAST(list_sum(list_transform(range(0, 8), lambda i: CASE WHEN embedding[k * 8 + i + 1] >= 0 THEN 1 << i ELSE 0 END)) AS BIGINT)), 2)), '')) AS bits,
                list_sum(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)) AS sum, CAST(ceil(len(embedding) * 0.125) AS BIGINT) AS bytes FROM embeddings""",
     "fnv_hash": f"SELECT p_partkey, lower(lpad(to_hex(CAST({FNV.format(x='p_name')} AS UBIGINT)), 16, '0')) AS fnv FROM part",
+    "hash_embed_documents": f"""
+        WITH t AS (SELECT doc_id, unnest({TOKENS.format(x="text")}) AS t FROM documents),
+        h AS (SELECT t, {FNV.format(x="t")} AS h FROM (SELECT DISTINCT t FROM t)),
+        v AS (SELECT doc_id, CAST(h % {DIM} AS BIGINT) AS i, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END) AS s FROM t JOIN h USING (t) GROUP BY doc_id, i)
+        SELECT doc_id, string_agg(CAST(CAST(coalesce(sign(s), 0) AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS signs, CASE WHEN sum(s * s) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
+        FROM (SELECT doc_id, i FROM documents, range({DIM}) r(i)) LEFT JOIN v USING (doc_id, i) GROUP BY doc_id""",
     "blend_search": """
         WITH d AS (SELECT doc_id AS url_id, 'u' || doc_id // 2 AS url FROM documents),
         k AS (SELECT url, url_id * 7919 % 1000 / 100.0::DOUBLE AS score FROM d WHERE url_id % 2 = 0 ORDER BY score DESC, url LIMIT 20),

@@ -188,6 +188,7 @@ def test_batch_from_pages_to_tables(spark, tmp_path):
     t.write(str(tmp_path / "i"))
     read = lambda name: spark.read.parquet(str(tmp_path / "i" / name))
     assert read("docs").count() == 2 and read("graph/edges").count() == 1 and read("rejects").count() == 1 and read("vectors").count() == 2
+    assert [r["url"] for r in search.Index.load(spark, str(tmp_path / "i")).search("rust", 5).collect()] == ["https://e.com/"]
     assert {r["url"]: r["last_crawled"] for r in read("frontier").collect()} == {"https://e.com/": 5, "https://e.com/b": 5}
     again = build(pages, Frontier(read("frontier")), now=9)
     assert again.docs.count() == 0  # nothing changed
