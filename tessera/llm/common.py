@@ -78,18 +78,6 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("null"))) % n
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so many characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def text_slices(column: pa.Array, chars: int = 1_500_000) -> Iterator[tuple[int, int, list[str]]]:
     """Ranges of rows with about so many bytes, and their texts; only one range's texts are made at a time. A null is an empty text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, text_slices, worker_model
 from .text_hash import ODD, mix, run_hashes, word_hashes, words_of
 
 #: Each difference modulo 13 is one between two of these, so that any two positions have a common distance to the next ones.
@@ -48,7 +48,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def repeated_anchors(docs: DataFrame, text: str, run: int, buckets: int, bits: int, chunk: int = 4_000_000) -> list[bytes]:
+def repeated_anchors(docs: DataFrame, text: str, run: int, buckets: int, bits: int, chunk: int = 1_000_000) -> list[bytes]:
     """For each bucket a compressed bitmap of the anchors that occur at least twice; ``bits`` in all.
 
     A task sends each of its anchors once, as 32 bits within its bucket, so that a hot passage is one
@@ -63,9 +63,8 @@ def repeated_anchors(docs: DataFrame, text: str, run: int, buckets: int, bits: i
 
         held, size = [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
-                held.append(Flat(texts[a:b]).anchors(run)[1])
+            for _, _, texts in text_slices(batch.column("text")):
+                held.append(Flat(texts).anchors(run)[1])
                 size += len(held[-1])
                 if size >= chunk:
                     yield flush(held)
@@ -91,7 +90,7 @@ def _mark(low: np.ndarray, width: int) -> np.ndarray:
     return (low.astype(np.uint64) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
 
 
-def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: int, buckets: int, bitmaps: list[bytes], bits: int, chunk: int = 2_000_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: int, buckets: int, bitmaps: list[bytes], bits: int, chunk: int = 500_000) -> DataFrame:
     """(row, starts): starts, in binary, of the windows that also start earlier; several rows for one row of the input.
 
     Only windows with a repeated anchor in reach are hashed whole. A task keeps the earliest of equal
@@ -99,13 +98,15 @@ def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: i
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmaps)
-    width = bits // buckets
+    width = bits // buckets  # a multiple of 8
+    key = hash(tuple(bitmaps))
     names = ["bucket", "h1", "h2", "id", "row", "start", "known_row", "known_start"]
     kinds = [pa.int32(), *[pa.binary()] * 7]
 
     def extend(flat: Flat, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, h = flat.anchors(run)
-        hit = at[marks[_bucket(h, buckets) * width + _mark(h.astype(np.uint32), width)]]
+        place = _bucket(h, buckets) * width + _mark(h.astype(np.uint32), width)
+        hit = at[(marks[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)]
         turn = np.zeros(len(flat.hashes) + 1, np.int32)
         np.add.at(turn, np.maximum(hit - (PERIOD - 1), flat.first[hit]), 1)
         np.add.at(turn, hit + 1, -1)
@@ -122,7 +123,7 @@ def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: i
         return at, both[0], (both[1] >> np.uint64(32)).astype(np.uint32)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.concatenate([np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), count=width).view(bool) for b in shared.value])
+        marks = worker_model(("substring_dedup", key), lambda: np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value]))
 
         def flush(held: list[tuple]) -> pa.RecordBatch:
             h1, h2, ids, rows, start = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -142,11 +143,10 @@ def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: i
 
         held, size = [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             rows = batch.column("row").to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
-                flat = Flat(texts[a:b])
+            for a, _, texts in text_slices(batch.column("text")):
+                flat = Flat(texts)
                 at, h1, h2 = extend(flat, marks)
                 doc = flat.doc[at] + a
                 held.append((h1, h2, ids[doc], rows[doc], flat.place[at].astype(np.uint32)))
@@ -199,12 +199,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     words = size // 5 + 1  # about; only for sizes
     buckets = 8
-    while buckets * 4_000_000 < words:
+    while buckets * 2_000_000 < words:
         buckets *= 2
     bits = 1 << 16
     while bits < min(4 * words * len(COVER) // PERIOD, max_filter_bits):
         bits *= 2
-    bits = max(bits, 8 * buckets)
+    bits = max(bits, 64 * buckets)
     bitmaps = repeated_anchors(docs, text_col, run, buckets, bits)
     found = repeated_starts(docs, id_col, text_col, window, run, buckets, bitmaps, bits).groupBy("row").agg(F.collect_list("starts").alias("starts"))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
