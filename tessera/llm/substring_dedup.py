@@ -91,10 +91,11 @@ def _mark(low: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: int, buckets: int, bitmaps: list[bytes], bits: int, chunk: int = 500_000) -> DataFrame:
-    """(row, starts): starts, in binary, of the windows that also start earlier; several rows for one row of the input.
+    """(row, spans): what the windows that also start earlier cover, as pairs of int32 (end exclusive); one row for each row with any.
 
     Only windows with a repeated anchor in reach are hashed whole. A task keeps the earliest of equal
-    windows and already knows that its others are repeated; so it sends each window once.
+    windows and already knows that its others are repeated; so it sends each window once. What a bucket
+    of windows finds goes back in one piece to each of as many buckets of rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmaps)
@@ -167,13 +168,29 @@ def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: i
         again = np.zeros(len(some), bool)
         again[1:] = (h1[some[1:]] == h1[some[:-1]]) & (h2[some[1:]] == h2[some[:-1]])
         rows, start = np.concatenate([rows[some[again]], known_row]), np.concatenate([start[some[again]], known_start])
-        order = np.argsort(rows, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(rows[order])) + 1) if len(order) else []
-        return pa.table({"row": pa.array([int(rows[p[0]]) for p in parts], pa.int64()), "starts": pa.array([start[p].tobytes() for p in parts], pa.binary())})
+        order = np.lexsort((start, rows))
+        rows, start = rows[order], start[order]
+        out = [[b, rows[at].tobytes(), start[at].tobytes()] for b, at in _by_bucket((mix(rows.view(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
+        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate((("home", pa.int32()), ("row", pa.binary()), ("start", pa.binary())))})
+
+    def spans(t: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(t.column("row").to_pylist()), np.int64)
+        start = np.frombuffer(b"".join(t.column("start").to_pylist()), np.uint32).astype(np.int32)
+        order = np.lexsort((start, rows))
+        rows, start = rows[order], start[order]
+        new_row = np.r_[True, rows[1:] != rows[:-1]]
+        new_span = new_row | np.r_[True, np.diff(start) > window]
+        first = np.flatnonzero(new_span)
+        last = np.r_[first[1:] - 1, len(rows) - 1]
+        pairs = np.stack([start[first], start[last] + window], 1).astype(np.int32)
+        at = np.flatnonzero(new_row[first])
+        cut = np.r_[at, len(first)]
+        return pa.table({"row": pa.array(rows[first[at]], pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sent = source.mapInArrow(send, "bucket int, h1 binary, h2 binary, id binary, row binary, start binary, known_row binary, known_start binary")
-    return sent.groupBy("bucket").applyInArrow(gather, "row long, starts binary")
+    back = sent.groupBy("bucket").applyInArrow(gather, "home int, row binary, start binary")
+    return back.groupBy("home").applyInArrow(spans, "row long, spans binary")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, max_filter_bits: int = 1 << 30) -> DataFrame:
@@ -206,19 +223,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits *= 2
     bits = max(bits, 64 * buckets)
     bitmaps = repeated_anchors(docs, text_col, run, buckets, bits)
-    found = repeated_starts(docs, id_col, text_col, window, run, buckets, bitmaps, bits).groupBy("row").agg(F.collect_list("starts").alias("starts"))
+    found = repeated_starts(docs, id_col, text_col, window, run, buckets, bitmaps, bits)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = source.join(found.hint("shuffle_hash"), "row", "left").select("id", "text", "starts")
+    joined = source.join(found.hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                words, removed = words_of(text.as_py()), []
-                if starts.is_valid:
-                    at = np.unique(np.frombuffer(b"".join(starts.as_py()), np.uint32)).astype(np.int64)
-                    cut = np.flatnonzero(np.diff(at) > window)
-                    removed = [*zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + window).tolist(), strict=True)]
+            for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
+                words = words_of(text.as_py())
+                removed = np.frombuffer(found.as_py(), np.int32).reshape(-1, 2).tolist() if found.is_valid else []
                 last, rest = 0, []
                 for a, b in removed:
                     rest += words[last:a]
