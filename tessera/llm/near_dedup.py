@@ -145,7 +145,7 @@ def verified(pairs: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
     """(node, label) for the nodes of an undirected graph; the label is the least node of the component.
 
     Alternates large-star and small-star until nothing changes; a node with very many neighbours is
@@ -156,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = stable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
         far = attach_by_key(both, least, "u", "n", F.xxhash64("v"))
         out = far.where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
@@ -164,8 +164,10 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a > b").distinct()
 
     now = stable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    parts = max(1, now.count() // edges_per_task)
+    kept = lambda df: stable(df.coalesce(parts))  # noqa: E731  few edges need few tasks
     while True:
-        new = stable(star(stable(star(now, True)), False))
+        new = kept(star(kept(star(now, True)), False))
         summary = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (now, new)]
         if summary[0] == summary[1]:
             break
@@ -173,34 +175,42 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def link(docs: DataFrame, nodes: DataFrame, text_col: str, n: int, threshold: float) -> DataFrame:
+def link(docs: DataFrame, nodes: DataFrame, text_col: str, n: int, threshold: float, first_bands: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, label) of the nodes that have a link, from all pairs that share a band and are similar enough.
 
-    A group of nodes with an equal band isn't compared pair by pair. First its least node is compared
-    with all others. While a group still holds nodes of different components, nodes outside its largest
-    component become leaders, eight times as many each round, and are compared with all nodes of other
-    components. It ends when they all have been: every pair of the group is then compared or linked.
+    A group of nodes with an equal band isn't compared pair by pair. In each group of the first
+    ``first_bands`` bands, the least node is compared with all others; that links most of what is alike,
+    so that few groups of the other bands need any work. While a group still holds nodes of different
+    components, nodes outside its largest component become leaders, eight at first and eight times as
+    many each round, and are compared with all nodes of other components. It ends when they all have been: every pair of the group is then compared or linked.
     """
-    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    rows = nodes.select("node", "n_shingles", F.posexplode("bands").alias("nth", "band"))
     sized = stable(rows.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     held = stable(attach_by_key(rows, sized, "band", "n", F.col("node")))
-    sizes = nodes.select("node", "n_shingles")
     near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
     at = nodes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("leader_n"))
-    labels = tested = edges = led = None
-    count = 1
-    pairs = held.where("node != leader").select("leader", "node", "n_shingles").distinct().join(at, "leader")
+    labels = tested = edges = led = store = None
+    count = 8
+    early = held.where(F.col("nth") < first_bands)
+    pairs = early.where("node != leader").select("leader", "node", "n_shingles").distinct().join(at, "leader")
     while True:
         pairs = stable(pairs.where(near(F.col("n_shingles"), F.col("leader_n"))).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        fresh = grams(docs, wanted.join(nodes.select("node", "row"), "node"), text_col, n)
-        new = stable(verified(pairs, stable(fresh), threshold))
+        # texts are read again only for nodes that no earlier round has compared
+        missing = stable((wanted if store is None else wanted.join(store.select("node"), "node", "left_anti")).join(nodes.select("node", "row"), "node"))
+        if store is None:
+            store = used = stable(grams(docs, missing, text_col, n))
+        else:
+            if not missing.isEmpty():
+                store = store.unionByName(stable(grams(docs, missing, text_col, n)))
+            used = store.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, "node", "left_semi")
+        new = stable(verified(pairs, used, threshold))
         tested = pairs if tested is None else stable(tested.unionByName(pairs))
         edges = new if edges is None else edges.unionByName(new)
         labels = stable(components(edges))
         edges = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         if led is None:
-            led = sized.select("band", F.col("leader").alias("node"))
+            led = early.where("node = leader").select("band", "node")
         # groups that still hold several components, without their largest one
         own = held.select("band", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         parts = own.groupBy("band", "label").agg(F.count("*").alias("n"))
