@@ -63,7 +63,7 @@ class PairTable:
 class Codec:
     """Encodes as the tiktoken library does with the same ranks and pattern, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, cache_size: int = 300_000):
+    def __init__(self, path: str, pattern: str, cache_size: int = 150_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
@@ -197,7 +197,7 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = worker_model(("byte_bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         for batch in batches:
-            for a, b, texts in text_slices(batch.column("__text")):
+            for a, b, texts in text_slices(batch.column("__text"), 600_000):
                 ids = c.encode_batch(texts)
                 part = batch.slice(a, b - a)
                 new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([c.decode(x) for x in ids], pa.binary())]

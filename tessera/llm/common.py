@@ -24,8 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it.
+
+    Rows here hold whole texts, so a session with Spark's usual 10,000 rows in an Arrow batch gets 1,000;
+    another setting stays.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return
@@ -92,13 +101,19 @@ def text_slices(column: pa.Array, chars: int = 1_500_000) -> Iterator[tuple[int,
 _models: dict[Hashable, Any] = {}
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the machine; workers stay for the next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_model(key: Hashable, make: Callable[[], Any]) -> Any:
     """A Python worker's one loaded model: kept from task to task, given up for the next one."""
     if key not in _models:
         _models.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # give the pages of the old model back
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        pa.default_memory_pool().release_unused()
+        give_back()
         _models[key] = make()
+    give_back()  # also what the last task and the making of the model left
     return _models[key]
