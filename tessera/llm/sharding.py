@@ -79,6 +79,33 @@ def smallest_capacity(classes: Sequence[tuple[int, int]], shards: int) -> tuple[
     return best
 
 
+def near_equal(classes: Sequence[tuple[int, int]], shards: int, slack: float = 0.01) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """Bins of near-equal bytes: the bins of each class, and the bytes of each bin.
+
+    An item larger than the mean of what is left gets a bin of its own. The rest is packed with the
+    least capacity over the remaining bins. If that leaves a bin more than ``slack`` under their mean
+    (few large items), only the fullest bin is settled, and what is left is packed anew.
+    """
+    plan: list[list[tuple[int, int]]] = [[] for _ in classes]
+    left, used = [n for _, n in classes], []
+    while any(left):
+        open_classes = [k for k, n in enumerate(left) if n]
+        room, total = shards - len(used), sum(classes[k][0] * left[k] for k in open_classes)
+        if room > 1 and classes[open_classes[0]][0] * room > total:
+            got, loads, settled = [[(0, 1)]], [classes[open_classes[0]][0]], [0]
+        else:
+            got, loads = smallest_capacity([(classes[k][0], left[k]) for k in open_classes], room)
+            uneven = len(loads) < room or min(loads) * room < (1 - slack) * total
+            settled = [loads.index(max(loads))] if uneven else range(len(loads))
+        number = {b: len(used) + i for i, b in enumerate(settled)}
+        used.extend(loads[b] for b in settled)
+        for k, bins in zip(open_classes, got):  # noqa: B905  an item of its own has one class only
+            taken = [(number[b], n) for b, n in bins if b in number]
+            plan[k] += taken
+            left[k] -= sum(n for _, n in taken)
+    return plan, used
+
+
 def numbered(rows: DataFrame, by: list[str], spread: str, order: list, buckets: int, name: str) -> DataFrame:
     """Gapless numbers from 0 within ``by``, without sorting a whole group in one task.
 
@@ -99,9 +126,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     The size of a row is the UTF-8 bytes of its text (a null text has none) plus 1; of a group, the sum.
     Groups of one size are alike, so the driver packs sizes with counts (their number follows the
-    lengths of texts, not the rows), best fit by falling size, with the least capacity that fills no
-    more than ``shards`` bins. The groups of a size are then numbered without gaps and take their bins
-    in that order. A group larger than the mean load sets the capacity by itself.
+    lengths of texts, not the rows), best fit by falling size; see ``near_equal``. The groups of a size
+    are then numbered without gaps and take their bins in that order. A group larger than the mean of
+    what is left has a shard of its own, and the others are spread over the remaining shards.
 
     Returns the id, size, text_crc32, group_key (SHA-256), group_size, shard, slot (gapless from 0 in
     each shard). Defined cases: null and empty texts are one group; repeated rows count each; an empty
@@ -115,7 +142,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     groups = stable(groups)
     classes = [(r["group_size"], r["n"]) for r in groups.groupBy("group_size").agg(F.count("*").alias("n")).collect()]
     classes.sort(reverse=True)
-    plan, _ = smallest_capacity(classes, shards)
+    plan, _ = near_equal(classes, shards)
     spans = []
     for (size, _), bins in zip(classes, plan, strict=True):
         at = 0

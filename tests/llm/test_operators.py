@@ -26,7 +26,7 @@ from tessera.llm.language_id import CrossParser, identify, language_id, letters
 from tessera.llm.near_dedup import BagMinHash, components, drop_near_duplicates, near_dedup  # noqa: E402
 from tessera.llm.quality import Fourier, isotonic, quality_scores, statistics  # noqa: E402
 from tessera.llm.revisit import canonical_url, resolve_revisits  # noqa: E402
-from tessera.llm.sharding import pack, shard_by_bytes, smallest_capacity  # noqa: E402
+from tessera.llm.sharding import near_equal, pack, shard_by_bytes, smallest_capacity  # noqa: E402
 from tessera.llm.substring_dedup import COVER, PERIOD, substring_dedup  # noqa: E402
 from tessera.llm.token_counts import UnigramCounter, token_counts, vocabulary  # noqa: E402
 
@@ -313,6 +313,35 @@ def test_best_fit_decreasing():
         assert len(used) <= 4 and sum(used) == sum(items)
 
 
+def test_sharding_hot_group(spark, tmp_path):
+    """A group with a third of all bytes is alone, and the other shards are near equal."""
+    rnd = random.Random(9)
+    rows = [(k, "hot " * 250) for k in range(100)] + [(1000 + k, f"{k} " + "x" * rnd.randint(50, 550)) for k in range(650)]
+    got = shard_by_bytes(frame(spark, rows, tmp_path), 16).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    hot = got[got.doc_id < 100].shard.unique()
+    assert len(loads) == 16 and len(hot) == 1 and loads[hot[0]] == 100 * 1001
+    rest = loads.drop(hot[0])
+    assert rest.max() <= 1.01 * rest.mean() and rest.min() >= 0.98 * rest.mean()
+
+
+def test_near_equal():
+    """Every item is placed once, no shard stays empty while there are items enough, and the fullest is no fuller than by one capacity."""
+    assert sorted(near_equal([(10, 17)], 16)[1]) == [10] * 15 + [20]
+    rnd = random.Random(10)
+    for _ in range(300):
+        items = [rnd.choice((1, rnd.randint(1, 30), rnd.randint(1, 400))) for _ in range(rnd.randint(0, 60))]
+        shards = rnd.randint(1, 16)
+        classes = [(s, items.count(s)) for s in sorted(set(items), reverse=True)]
+        plan, used = near_equal(classes, shards)
+        loads = [0] * len(used)
+        for (size, n), bins in zip(classes, plan, strict=True):
+            assert sum(k for _, k in bins) == n
+            for b, k in bins:
+                loads[b] += size * k
+        assert loads == used and len(used) == min(shards, len(items))
+
+
 RECORDS = "record_id long, url string, kind string, ts long, headers map<string,string>, digest string, status string"
 
 
