@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import ship, text_slices, worker_model
 
 UNKNOWN = "und"
-#: Symbol 0 is the gap between words; letters that aren't in the alphabet share the last symbol.
+#: Symbol 0 is the gap between words; letters that are in no training text share the last symbol.
 GAP = 0
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters(text: str) -> str:
@@ -52,31 +52,77 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return follow
 
 
+class Transitions:
+    """A hash table from state + symbol to the next state, with linear probing; at most a quarter of it is filled."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, -1, np.int32 if not len(values) or values.max() < 2**31 else np.int64)
+        todo = np.arange(len(keys))
+        at = self._home(keys)
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]  # of several, one stays
+            own = self.keys[at] == keys[todo]
+            self.values[at[own]] = values[todo[own]]
+            todo, at = todo[~own], (at[~own] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * ODD) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none; ``keys`` is one contiguous array."""
+        at = self._home(keys)
+        found = self.keys[at]
+        out = self.values[at]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at = (at[open_] if len(at) != len(open_) else at) + 1 & self.mask
+            found = self.keys[at]
+            out[open_] = self.values[at]
+            more = (found != keys[open_]) & (found >= 0)
+            open_, at = open_[more], at[more]
+        return out
+
+
 class CrossParser:
-    """Parses texts into longest phrases that occur in a language's text, all languages side by side."""
+    """Parses texts into longest phrases that occur in a language's text, all languages side by side.
 
-    def __init__(self, training: dict[str, str], max_letters: int = 250, block: int = 1024):
+    Every letter of the training texts is a symbol. A table of all states and symbols of up to
+    ``dense_cells`` cells is stored whole; above (scripts with thousands of letters) the transitions
+    that exist are hashed. Both give the same phrases.
+    """
+
+    def __init__(self, training: dict[str, str], block: int = 1024, dense_cells: int = 1 << 25):
         self.langs = sorted(training)
         texts = {k: " ".join(letters(v).split()) for k, v in training.items()}
-        common = Counter()
-        for t in texts.values():
-            common.update(t.replace(" ", ""))
-        alphabet = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:max_letters]]
+        alphabet = sorted(set().union(*texts.values()) - {" "})
         self.n_symbols = len(alphabet) + 2
         self.block = block
         self.symbol = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": GAP}
         self.bits = np.array([np.log2(max(2, len(texts[k]))) for k in self.langs])
-        starts, tables, base = [], [], 0
-        for k in self.langs:
-            states = suffix_automaton(texts[k])
-            starts.append(base)
-            tables.append(self._table(states, base))
-            base += len(states) * self.n_symbols
-        self.starts = np.array(starts, np.int64)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        if not len(self.table) or self.table.max() < 2**31:
-            self.table = self.table.astype(np.int32)
-        wide = np.full(0x110000, -1, np.int16)
+        automata = [suffix_automaton(texts[k]) for k in self.langs]
+        # a state is known by the place of its first cell
+        n = self.n_symbols
+        self.starts = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int64) * n
+        cells = sum(map(len, automata)) * n
+        edges = [self._edges(states, start) for states, start in zip(automata, self.starts, strict=True)]
+        # by language and symbol: where it goes on after a phrase ended, and whether the symbol is a phrase of its own
+        self.again = np.full((len(self.langs), n), -1, np.int64)
+        for row, start, (at, to) in zip(self.again, self.starts, edges, strict=True):
+            root = at < start + n
+            row[at[root] - start] = to[root]
+        self.lone = self.again < 0
+        self.again = np.where(self.lone, self.starts[:, None], self.again)
+        self.table = self.next = None
+        if cells <= dense_cells:
+            parts = [self._table(len(states) * n, *x) for states, *x in zip(automata, self.starts, edges, self.again, self.lone, strict=True)]
+            self.table = np.concatenate([np.zeros(0, np.int32), *parts])
+        else:
+            self.next = Transitions(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+        wide = np.full(0x110000, -1, np.int32)
         for i in range(0x110000):
             if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
                 wide[i] = self.n_symbols - 1
@@ -84,19 +130,32 @@ class CrossParser:
             wide[ord(c)] = self.symbol[c]
         self.of_point = wide
 
-    def _table(self, states: list[dict[str, int]], base: int) -> np.ndarray:
+    def _edges(self, states: list[dict[str, int]], start: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, states), np.int64, len(states))
+        symbol = np.fromiter((self.symbol[c] for follow in states for c in follow), np.int64, sizes.sum())
+        target = np.fromiter((t for follow in states for t in follow.values()), np.int64, sizes.sum())
+        return np.repeat(np.arange(len(states)), sizes) * self.n_symbols + symbol + start, target * self.n_symbols + start
+
+    def _table(self, cells: int, start: int, edges: tuple[np.ndarray, np.ndarray], again: np.ndarray, lone: np.ndarray) -> np.ndarray:
         """For state and symbol: where to go next times 4, and how many phrases end by that."""
-        n = self.n_symbols
-        go = np.full((len(states), n), -1, np.int64)
-        for s, follow in enumerate(states):
-            for c, t in follow.items():
-                if c in self.symbol:
-                    go[s, self.symbol[c]] = t
-        root = go[0]
-        fail = np.where(root >= 0, (base + np.maximum(root, 0) * n) * 4 + 1, base * 4 + 2)
-        out = np.where(go >= 0, (base + go * n) * 4, fail)
-        out[0] = np.where(root >= 0, (base + root * n) * 4, base * 4 + 1)
-        return out.ravel()
+        out = np.tile((again * 4 + 1 + lone).astype(np.int32), cells // self.n_symbols)
+        out[: self.n_symbols] = start * 4 + 1  # nothing was read before
+        out[edges[0] - start] = edges[1] * 4
+        return out
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states (languages x places), and how many phrases end by that."""
+        if self.table is not None:
+            got = self.table[state + symbol]
+            return got >> 2, got & 3
+        got = self.next((state + symbol).ravel()).reshape(state.shape)
+        ended = np.zeros(state.shape, np.int32)
+        lang, at = np.nonzero(got < 0)
+        c = symbol[at]
+        # what was read is a phrase, unless it is empty; a symbol that the language doesn't have is one too
+        ended[lang, at] = (state[lang, at] != self.starts[lang]).astype(np.int32) + self.lone[lang, c]
+        got[lang, at] = self.again[lang, c]
+        return got, ended
 
     def symbols(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
@@ -105,7 +164,7 @@ class CrossParser:
         keep = word.copy()
         keep[1:] |= word[:-1]  # one gap after each word
         s = s[keep]
-        return np.where(s < 0, GAP, s).astype(np.uint8)
+        return np.where(s < 0, GAP, s).astype(np.min_scalar_type(self.n_symbols))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text, its number of symbols, and its number of phrases in each language.
@@ -123,16 +182,15 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
         sizes = np.minimum(self.block, length[owner] - nth * self.block)
         first = (np.cumsum(length) - length)[owner] + nth * self.block
-        flat = np.concatenate([*symbols, np.zeros(self.block, np.uint8)])
+        flat = np.concatenate([*symbols, np.zeros(self.block, symbols[0].dtype)])
         order = np.argsort(-sizes, kind="stable")
         sizes, first = sizes[order], first[order]
         state = np.repeat(self.starts[:, None], len(order), 1)
         count = np.zeros(state.shape, np.int32)
         alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
         for step, n in enumerate(alive):
-            got = self.table[state[:, :n] + flat[first[:n] + step]]
-            count[:, :n] += got & 3
-            state[:, :n] = got >> 2
+            state[:, :n], ended = self._step(state[:, :n], flat[first[:n] + step])
+            count[:, :n] += ended
         count += 1
         for k in range(len(self.langs)):
             total[:, k] = np.bincount(owner[order], count[k], len(texts))

@@ -17,6 +17,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import brute  # noqa: E402
 from oracle import assert_same  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
+
 from tessera.llm import queries  # noqa: E402
 from tessera.llm.byte_bpe import Codec, bpe  # noqa: E402
 from tessera.llm.common import attach_by_key, crc_mod  # noqa: E402
@@ -245,6 +247,43 @@ def test_language_parsing():
     assert [x[0] for x in parser.classify(["", "!1", None, "abcab"])][:3] == ["und"] * 3
 
 
+def many_letters(rnd, words, n):
+    """Text of words of Chinese characters without spaces, the commonest about forty times as often as the rarest, in sentences."""
+    picked = rnd.choices(words, [(k + 1) ** -0.5 for k in range(len(words))], k=n)
+    return "".join(w + ("。" if rnd.random() < 0.1 else "") for w in picked)
+
+
+def test_hashed_transitions():
+    """The hashed transitions give what the whole table gives, for more letters than fit into a byte."""
+    rnd = random.Random(11)
+    cjk = [chr(0x4E00 + k) for k in range(3000)]
+    training = {"aa": "".join(rnd.choice("abc ") for _ in range(900)), "cc": "".join(cjk) + "".join(rnd.choice(cjk[:500]) for _ in range(3000)), "dd": ""}
+    whole, hashed = CrossParser(training, 64, 1 << 40), CrossParser(training, 64, 0)
+    assert whole.next is None and hashed.table is None and whole.n_symbols == 3005
+    texts = ["".join(rnd.choice(["a", "b", "c", " ", "q", "!", "я", *cjk[:500]][:8 if k % 2 else None]) for _ in range(rnd.randint(0, 300))) for k in range(100)]
+    texts += ["", "!", "".join(cjk), *training.values()]
+    for a, b in zip(whole.phrases(texts), hashed.phrases(texts), strict=True):
+        assert (a == b).all()
+    assert whole.classify(texts) == hashed.classify(texts)
+
+
+def test_language_of_3000_letters(spark, tmp_path):
+    """Held-out texts of a learned language with 3,000 letters stay in the corpus, beside one with an alphabet."""
+    rnd = random.Random(12)
+    cjk = [chr(0x4E00 + k) for k in range(3000)]
+    rnd.shuffle(cjk)
+    words = ["".join(cjk[at : at + 2]) for at in range(0, 3000, 2)]
+    rnd.shuffle(words)
+    latin = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(800)]
+    rows = [(k, many_letters(rnd, words, 150), "zh", "s", 1) for k in range(200)]
+    rows += [(1000 + k, " ".join(rnd.choice(latin) for _ in range(60)), "en", "s", 1) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["doc_id"] for r in corpus_pipeline.keep_identified(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(r[0] for r in rows)
+    found = language_id(docs, learn=crc_mod(F.col("doc_id"), 5) != 0)
+    assert found.where("lang_pred <> lang").count() == 0
+
+
 def test_language_id(spark, sf, stored, nothing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.op2_language_id(spark, sf).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").toPandas()
