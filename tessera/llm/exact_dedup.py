@@ -53,7 +53,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     Returns the columns ``carry`` (default: all; columns with a name of the result are replaced) and
     keep_id, group_size, kept, text_sha256. Defined cases: a null id counts as larger than any other;
     of repeated rows with equal id and text the one read first is kept; an empty table gives no rows.
-    The input should be a stored table, since its rows are told apart by their place in it.
+    Rows are told apart by their place in the input, which is stored once: with the possibly repeated
+    rows, or with all rows if the text isn't carried.
     """
     names = [c for c in (df.columns if carry is None else carry) if c not in OWN]
     light = text_col not in names
@@ -70,7 +71,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     rows = _probe(_probe(base, pages, first, "__a"), pages, second, "__b")
     maybe = F.col("__a") & F.col("__b")
     single = rows.where(~maybe).select("*", F.col("__own.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    shared = rows.where(maybe)
+    # stored once: another scan may split the files, and so number the rows, in another way
+    shared = rows.where(maybe) if light else stable(rows.where(maybe))
     groups = stable(shared.groupBy("text_sha256").agg(F.min("__own").alias("__best"), F.count("*").alias("group_size")))
     joined = attach_by_key(shared, groups, "text_sha256", "group_size", F.xxhash64("__own"), hot_rows)
     joined = joined.withColumn("keep_id", F.col("__best.id")).withColumn("kept", F.col("__own") == F.col("__best"))

@@ -85,9 +85,9 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, n: int, slots: int, rows: int) -> DataFrame:
-    """(row, id, bag, n_shingles, bands) of each row; bag is a 128-bit hash of the multiset of shingles, null without words."""
-    ship(docs.sparkSession)
+def sign(stored: DataFrame, n: int, slots: int, rows: int) -> DataFrame:
+    """(row, id, bag, n_shingles, bands) of each stored (row, id, text); bag is a 128-bit hash of the multiset of shingles, null without words."""
+    ship(stored.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = worker_model(("near_dedup", slots), lambda: BagMinHash(slots))
@@ -103,16 +103,14 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int, slots: int, rows:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(keys, pa.binary()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), bands], names=["row", "id", "bag", "n_shingles", "bands"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows_in = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(run, f"row long, id {kind}, bag binary, n_shingles long, bands array<long>")
+    kind = stored.schema["id"].dataType.simpleString()
+    return stored.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, bag binary, n_shingles long, bands array<long>")
 
 
-def grams(docs: DataFrame, wanted: DataFrame, text_col: str, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+def grams(stored: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, grams) for the rows (node, row) of ``wanted``: sorted hashes of shingle and occurrence, so that multiset overlap is set overlap."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    picked = source.join(wanted, "row").select("node", "text")
+    picked = stored.select("row", "text").join(wanted, "row").select("node", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +173,7 @@ def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def link(docs: DataFrame, nodes: DataFrame, text_col: str, n: int, threshold: float, first_bands: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+def link(stored: DataFrame, nodes: DataFrame, n: int, threshold: float, first_bands: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, label) of the nodes that have a link, from all pairs that share a band and are similar enough.
 
     A group of nodes with an equal band isn't compared pair by pair. In each group of the first
@@ -199,10 +197,10 @@ def link(docs: DataFrame, nodes: DataFrame, text_col: str, n: int, threshold: fl
         # texts are read again only for nodes that no earlier round has compared
         missing = stable((wanted if store is None else wanted.join(store.select("node"), "node", "left_anti")).join(nodes.select("node", "row"), "node"))
         if store is None:
-            store = used = stable(grams(docs, missing, text_col, n))
+            store = used = stable(grams(stored, missing, n))
         else:
             if not missing.isEmpty():
-                store = store.unionByName(stable(grams(docs, missing, text_col, n)))
+                store = store.unionByName(stable(grams(stored, missing, n)))
             used = store.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, "node", "left_semi")
         new = stable(verified(pairs, used, threshold))
         tested = pairs if tested is None else stable(tested.unionByName(pairs))
@@ -231,6 +229,11 @@ def link(docs: DataFrame, nodes: DataFrame, text_col: str, n: int, threshold: fl
         count *= 8
 
 
+def numbered_rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(row, id, text, and the columns ``carry`` as c0, c1 ...), stored: another scan may split the files, and so number the rows, in another way."""
+    return stable(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
     """The class of near-duplicates of every row: connected by links of similarity ``threshold`` or more.
 
@@ -242,26 +245,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns row (the place in the input), the id, class_id (least id of the class), class_size,
     n_shingles, kept (true for one row of each class: the one with the least id). Defined cases: a text
     without words is a class of its own; a null id counts as larger than any other; of repeated rows
-    the one read first is kept; an empty table gives no rows; other input columns are ignored. The
-    input should be a stored table, since its rows are known by their place in it.
+    the one read first is kept; an empty table gives no rows; other input columns are ignored. Rows are
+    numbered once: the numbers are stored with the texts, and every later job reads that table.
     """
-    signed = stable(sign(docs, id_col, text_col, words, bands * rows, rows))
+    return classes_of(numbered_rows(docs, id_col, text_col, []), words, threshold, bands, rows).withColumnRenamed("id", id_col)
+
+
+def classes_of(stored: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``near_dedup`` of a stored table (row, id, text)."""
+    signed = stable(sign(stored, words, bands * rows, rows))
     best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     some = signed.where("bag is not null")
     nodes = some.groupBy("bag").agg(F.min(best).alias("best"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = stable(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("best.row").alias("row"), "*"))
-    labels = link(docs, nodes, text_col, words, threshold)
+    labels = link(stored, nodes, words, threshold)
     named = nodes.drop("bands", "row", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = stable(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("members")))
     known = stable(attach_by_key(named, classes, "label", "members", F.col("node")).select("bag", "copies", "first", "class_size"))
     own = attach_by_key(some, known, "bag", "copies", F.col("row"))
     out = own.select("row", "id", F.col("first.id").alias("class_id"), "class_size", "n_shingles", (F.col("row") == F.col("first.row")).alias("kept"))
     none = signed.where("bag is null").select("row", "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles", F.lit(True).alias("kept"))
-    return out.unionByName(none).withColumnRenamed("id", id_col)
+    return out.unionByName(none)
 
 
-def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
     """The rows that ``near_dedup`` keeps, with all columns. Texts shuffle only if over ``broadcast_rows`` rows go."""
-    found = stable(near_dedup(docs, **options).where(~F.col("kept")).select(F.col("row").alias("__row")))
+    names = {id_col: "id", text_col: "text"}
+    carry = [c for c in docs.columns if c not in names]
+    names |= {c: f"c{k}" for k, c in enumerate(carry)}
+    stored = numbered_rows(docs, id_col, text_col, carry)
+    found = stable(classes_of(stored, words, threshold, bands, rows).where(~F.col("kept")).select("row"))
     gone = F.broadcast(found) if found.count() <= broadcast_rows else found
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return stored.join(gone, "row", "left_anti").select(*(F.col(names[c]).alias(c) for c in docs.columns))
