@@ -214,20 +214,26 @@ class CrossParser:
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, rows_per_lang: int, max_row_chars: int, chars_per_lang: int) -> dict[str, str]:
     """A bounded sample of labelled rows: about ``rows_per_lang`` whole texts a language, by a hash of the id.
 
-    Texts over ``max_row_chars`` characters are not learned from. Of a language's rows, in the order of
-    that hash, texts are taken until they have ``chars_per_lang`` characters.
+    Texts over ``max_row_chars`` characters are not learned from, unless the language has no other: then
+    the first ``chars_per_lang`` characters of its shortest text are. Of a language's rows, in the order
+    of that hash, texts are taken until they have ``chars_per_lang`` characters.
     """
-    fit = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.length(text_col).between(1, max_row_chars))
-    rows = fit.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.length(text_col) > 0)
+    every = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.length(text_col).alias("n"))
+    rows = every.where(F.col("n") <= max_row_chars).select("lang", "text", "h")
+    found = {r["lang"]: r["fit"] for r in every.groupBy("lang").agg(F.count_if(F.col("n") <= max_row_chars).alias("fit")).collect()}
+    seen = {lang: n for lang, n in found.items() if n}
+    out: dict[str, list[str]] = {}
+    if long := [lang for lang, n in found.items() if not n]:
+        shortest = every.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min(F.struct("n", "h", F.substring("text", 1, chars_per_lang).alias("text"))).alias("first"))
+        out |= {r["lang"]: [r["first"]["text"]] for r in shortest.collect()}
     if not seen:
-        return {}
+        return {k: t for k, (t,) in out.items() if any(map(str.isalpha, t))}
     million = 1_000_000
     share = F.lit(0)
     for lang, n in seen.items():
         share = F.when(F.col("lang") == lang, F.lit(min(million, -(-rows_per_lang * million // n)))).otherwise(share)
     picked = rows.where(F.pmod(F.col("h"), F.lit(million)) < share).orderBy("h", "text").limit(4 * rows_per_lang * len(seen))
-    out: dict[str, list[str]] = {}
     for r in picked.collect():
         have = out.setdefault(r["lang"], [])
         if sum(map(len, have)) < chars_per_lang:

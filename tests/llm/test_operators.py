@@ -305,6 +305,18 @@ def test_language_of_3000_letters(spark, tmp_path):
     assert found.where("lang_pred <> lang").count() == 0
 
 
+def test_language_of_long_texts(spark):
+    """A language whose texts are all over the bound is learned from the start of its shortest one."""
+    rnd = random.Random(14)
+    text = lambda chars, n: " ".join("".join(rnd.choice(chars) for _ in range(4)) for _ in range(n))
+    rows = [(k, text("abcde", 20), "aa") for k in range(20)] + [(100 + k, text("vwxyz", 100 + k), "zz") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id(docs, learn=F.lit(True), max_row_chars=200).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
+    only = language_id(docs.where("lang = 'zz'"), learn=F.lit(True), max_row_chars=200, chars_per_lang=300).collect()
+    assert {r["lang_pred"] for r in only} == {"zz"}
+
+
 def test_language_id(spark, sf, stored, nothing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.op2_language_id(spark, sf).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").toPandas()
