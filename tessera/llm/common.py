@@ -24,37 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it.
-
-    Rows here hold whole texts, so a session with Spark's usual 10,000 rows in an Arrow batch gets 1,000;
-    another setting stays.
-    """
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
+    """Send this package to the executors once per application, so that Python workers can import it."""
     sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
+    if getattr(sc, "_tessera_llm_shipped", False):
         return
     path = Path(tempfile.mkdtemp(prefix="tessera-")) / f"{PACKAGE.name}_pkg.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent).as_posix())
     sc.addPyFile(str(path))
-    sc._tessera_shipped = True
+    sc._tessera_llm_shipped = True
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
-    The folder is ``spark.checkpoint.dir``; only a session without it (tests) gets one of its own.
-    """
+
+def stable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares, ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     kept = df.checkpoint(eager=True)._jdf
     # a checkpoint inherits the size estimate of its plan, a product over joins whose digits double in
     # each round of an iteration; its rows as a new relation start anew
@@ -66,22 +61,47 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot_rows: int = 5000, salts: int = 64) -> DataFrame:
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A materialised table of narrow rows, marked to be broadcast if it has at most so many rows; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, sizes: DataFrame | None = None) -> DataFrame:
     """Join every row to the one row of its group without gathering a large group in one task.
 
-    ``groups`` has one row per ``key`` and should be materialised. Groups with over ``hot_rows`` rows are
-    at most rows / hot_rows many; only their keys are broadcast. Rows of such groups are dealt out by
-    ``spread`` over ``salts`` join keys and the group's row is repeated for each of them. The other
-    groups are joined under salt 0. It is an inner join: rows without a group go.
+    ``groups`` has one row per ``key``; it, or else ``sizes`` with the columns ``key`` and ``size``,
+    should be materialised. A group is large if it has over half of an even task's share of all rows,
+    so at most twice as many groups are large as there are shuffle partitions; only their keys are
+    broadcast. The rows of a large group are dealt out by ``spread`` over as many join keys as it has
+    such halves, and the group's row is repeated for each of them. The other groups are joined under
+    salt 0. It is an inner join: rows without a group go.
     """
-    hot = groups.where(F.col(size) > hot_rows).select(F.col(key).alias("__hot"))
+    sizes = groups if sizes is None else sizes
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    limit = max(100, total // (2 * shuffle_parts(rows.sparkSession)))
+    hot = sizes.where(F.col(size) > limit).select(F.col(key).alias("__hot"), F.ceil(F.col(size) / limit).alias("__salts"))
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    dealt = dealt.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.lit(salts))).cast("int")).drop("__hot")
-    last = F.when(F.col(size) > hot_rows, F.lit(salts - 1)).otherwise(F.lit(0))
-    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("long")).drop("__hot", "__salts")
+    last = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit) - 1).otherwise(F.lit(0).cast("long"))
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return dealt.join(copies, [key, "__salt"], "inner").drop("__salt")
 
 
+def keyed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``row`` and the columns ``names`` (old to new): row is the same for the same row in every job.
+
+    A plain table of Parquet files has such a number already: the hash of the file's path, and the
+    place in the file, however the files are split. Rows of any other plan get a number that is stored
+    with them in the shared checkpoint folder, since a second run of the plan may number them in
+    another way (for example after an executor was lost).
+    """
+    columns = [F.col(f"`{old}`").alias(new) for old, new in names.items()]
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "Relation [" in plan.toString() and plan.toString().rstrip().endswith(" parquet"):
+        return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("row"), *columns)
+    return stable(docs.select(F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")).alias("row"), *columns))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null counts as the text 'null'."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("null"))) % n

@@ -40,7 +40,7 @@ def _probe(rows: DataFrame, pages: DataFrame, pos: Column, name: str) -> DataFra
     return out.withColumn(name, hit).drop("__page", "__bitmap")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_filter_bits: int = 1 << 28, hot_rows: int = 5000) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_filter_bits: int = 1 << 28) -> DataFrame:
     """Mark, for every row, which of the rows with an equal text stays.
 
     Texts are equal when they are identical after each run of ASCII white space became one space; a
@@ -74,7 +74,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     # stored once: another scan may split the files, and so number the rows, in another way
     shared = rows.where(maybe) if light else stable(rows.where(maybe))
     groups = stable(shared.groupBy("text_sha256").agg(F.min("__own").alias("__best"), F.count("*").alias("group_size")))
-    joined = attach_by_key(shared, groups, "text_sha256", "group_size", F.xxhash64("__own"), hot_rows)
+    joined = attach_by_key(shared, groups, "text_sha256", "group_size", F.xxhash64("__own"))
     joined = joined.withColumn("keep_id", F.col("__best.id")).withColumn("kept", F.col("__own") == F.col("__best"))
     out = [*(F.col(f"__in_{c}").alias(c) for c in names), "keep_id", "group_size", "kept", "text_sha256"]
     return single.select(*out).unionByName(joined.select(*out))

@@ -6,11 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import attach_by_key, ship, stable, text_slices, worker_model
+from .common import attach_by_key, keyed, ship, small, stable, text_slices, worker_model
 from .text_hash import ODD, mix, run_hashes, scaled, word_hashes, words_of
 
 
@@ -85,9 +85,9 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
-def sign(stored: DataFrame, n: int, slots: int, rows: int) -> DataFrame:
-    """(row, id, bag, n_shingles, bands) of each stored (row, id, text); bag is a 128-bit hash of the multiset of shingles, null without words."""
-    ship(stored.sparkSession)
+def sign(rows: DataFrame, n: int, slots: int, band_slots: int) -> DataFrame:
+    """(row, id, bag, n_shingles, bands) of each (row, id, text); bag is a 128-bit hash of the multiset of shingles, null without words."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = worker_model(("near_dedup", slots), lambda: BagMinHash(slots))
@@ -97,20 +97,19 @@ def sign(stored: DataFrame, n: int, slots: int, rows: int) -> DataFrame:
                 sizes = [len(e) for e, _ in bags]
                 owner = np.repeat(np.arange(b - a), sizes)
                 signatures = signer(np.concatenate([e for e, _ in bags]), np.concatenate([c for _, c in bags]), owner, b - a)
-                found = band_hashes(signatures, rows).view(np.int64)
+                found = band_hashes(signatures, band_slots).view(np.int64)
                 part = batch.slice(a, b - a)
                 keys = [xxh3_128_digest(e.tobytes() + c.tobytes()) if len(e) else None for e, c in bags]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(keys, pa.binary()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), bands], names=["row", "id", "bag", "n_shingles", "bands"])
 
-    kind = stored.schema["id"].dataType.simpleString()
-    return stored.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, bag binary, n_shingles long, bands array<long>")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("row", "id")}
+    return rows.select("row", "id", "text").mapInArrow(run, f"row {kinds['row']}, id {kinds['id']}, bag binary, n_shingles long, bands array<long>")
 
 
-def grams(stored: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+def grams(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, grams) for the rows (node, row) of ``wanted``: sorted hashes of shingle and occurrence, so that multiset overlap is set overlap."""
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    picked = stored.select("row", "text").join(wanted, "row").select("node", "text")
+    picked = rows.select("row", "text").join(small(wanted), "row").select("node", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,22 +124,83 @@ def grams(stored: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int = 1_
 
 
 def verified(pairs: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets of shingles have at least that Jaccard similarity."""
-    left = pairs.join(store.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    both = left.join(store.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
+    """(a, b, similarity) of the pairs (a, b) whose multisets of shingles have at least that Jaccard similarity.
+
+    A node of very many pairs is spread: its grams go to several tasks, once to each.
+    """
+
+    def with_grams(rows: DataFrame, key: str, other: str, name: str) -> DataFrame:
+        sizes = stable(rows.groupBy(key).agg(F.count("*").alias("n")))
+        groups = sizes.join(store.select(F.col("node").alias(key), F.col("grams").alias(name)), key)
+        return attach_by_key(rows, groups, key, "n", F.col(other), sizes).drop("n")
+
+    # the node that fewer pairs share is joined first, so that its grams are what moves with the pairs
+    both = with_grams(with_grams(pairs, "b", "a", "gb"), "a", "b", "ga").select("a", "b", "ga", "gb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            found = []
             for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (a, b) if len(a) < len(b) else (b, a)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(common >= threshold * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                few, many = (a, b) if len(a) < len(b) else (b, a)
+                at = np.searchsorted(many, few)
+                common = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+                found.append(common / (len(a) + len(b) - common))
+            keep = pa.array(np.array(found) >= threshold - 1e-12, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
+
+    return both.mapInArrow(run, "a long, b long, similarity double")
 
-    return both.mapInArrow(run, "a long, b long")
+
+def lone_grams(store: DataFrame, total: int, per_task: int = 2_000_000) -> DataFrame:
+    """(node, lone): how many grams of each node no other node of ``store`` has; nodes without any have no row.
+
+    Grams are dealt out by hash, packed; each task first joins its own repeats, so a gram that all
+    nodes share is a few entries.
+    """
+    parts = max(1, -(-total // per_task))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            e, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(e, kind="stable")
+            e, owner = e[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+            alone = np.diff(np.concatenate([first, [len(e)]])) == 1
+            e, owner = e[first], np.where(alone, owner[first], -1)
+            part = (e % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            cut = [order[ends[k] : ends[k + 1]] for k in range(parts) if ends[k] < ends[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[x[0]]) for x in cut], pa.int64()), pa.array([e[x].tobytes() for x in cut], pa.binary()), pa.array([owner[x].tobytes() for x in cut], pa.binary())], names=["part", "e", "owner"])
+
+        size = 0
+        for batch in batches:
+            for node, g in zip(batch.column("node").to_pylist(), batch.column("grams"), strict=True):
+                e = np.frombuffer(g.as_buffer(), np.uint64)
+                held.append((e, np.full(len(e), node, np.int64)))
+                size += len(e)
+                if size > per_task:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def count(packed: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in packed.column("e")])
+        owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in packed.column("owner")])
+        order = np.argsort(e, kind="stable")
+        e, owner = e[order], owner[order]
+        same = e[1:] == e[:-1]
+        alone = ~np.concatenate([[False], same]) & ~np.concatenate([same, [False]]) & (owner >= 0)
+        node, n = np.unique(owner[alone], return_counts=True)
+        return pa.table({"node": node, "lone": n.astype(np.int64)})
+
+    dealt = store.mapInArrow(deal, "part long, e binary, owner binary")
+    return dealt.groupBy("part").applyInArrow(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
 
 
 def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
@@ -155,7 +215,7 @@ def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
         if large:
             both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        far = attach_by_key(both, least, "u", "n", F.xxhash64("v"))
+        far = attach_by_key(both, least, "u", "n", F.col("v"))
         out = far.where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.unionByName(least.where("u > m").select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -173,65 +233,93 @@ def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def link(stored: DataFrame, nodes: DataFrame, n: int, threshold: float, first_bands: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(node, label) of the nodes that have a link, from all pairs that share a band and are similar enough.
+def possible(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two nodes (structs with n_shingles and core, the grams that some other node has too) can be similar enough."""
+    most = F.least(a["core"], b["core"])
+    return most >= threshold * (a["n_shingles"] + b["n_shingles"] - most) - 1e-9
+
 
-    A group of nodes with an equal band isn't compared pair by pair. In each group of the first
-    ``first_bands`` bands, the least node is compared with all others; that links most of what is alike,
-    so that few groups of the other bands need any work. While a group still holds nodes of different
-    components, nodes outside its largest component become leaders, eight at first and eight times as
-    many each round, and are compared with all nodes of other components. It ends when they all have been: every pair of the group is then compared or linked.
+def mixed_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (band, node, n_shingles, core) of groups whose nodes are in different components, with label, and of the group: n, rest, main, least_n.
+
+    main is the label of its largest component, rest the number of nodes outside it, least_n the smallest n_shingles.
     """
-    rows = nodes.select("node", "n_shingles", F.posexplode("bands").alias("nth", "band"))
-    sized = stable(rows.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    held = stable(attach_by_key(rows, sized, "band", "n", F.col("node")))
-    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
-    at = nodes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("leader_n"))
-    labels = tested = edges = led = store = None
-    count = 8
-    early = held.where(F.col("nth") < first_bands)
-    pairs = early.where("node != leader").select("leader", "node", "n_shingles").distinct().join(at, "leader")
-    while True:
-        pairs = stable(pairs.where(near(F.col("n_shingles"), F.col("leader_n"))).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        # texts are read again only for nodes that no earlier round has compared
+    own = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = own.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least_n"))
+    groups = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.min("least_n").alias("least_n"))
+    groups = stable(groups.where(F.col("most.n") < F.col("n")).select("band", "n", (F.col("n") - F.col("most.n")).alias("rest"), F.col("most.label").alias("main"), "least_n"))
+    return stable(attach_by_key(own, groups, "band", "n", F.col("node")))
+
+
+def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: int = 8, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of the nodes that have a link, and verified links (a, b, similarity) that connect each class.
+
+    Candidates are the pairs of nodes that share a band. Their links are found without making all
+    pairs of a group:
+
+    1. In each group the least node is compared with all others. That links most of what is alike.
+    2. Only groups whose nodes are then in different components matter further. A node is left out of
+       such a group if its grams that no other node of these groups has leave too few for any link.
+    3. Of what is still mixed, up to ``leaders`` nodes outside the largest component of a group are
+       compared with the nodes of other components.
+    4. In groups that are mixed even then, the nodes outside the largest component are a query set
+       against all nodes of other components, in blocks of ``block`` nodes: only pairs that their
+       sizes and shared grams let be similar enough are made.
+
+    So every pair of a group ends compared, in one component already, or ruled out by a bound that holds.
+    """
+    spread = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    groups = stable(spread.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    held = stable(attach_by_key(spread, groups, "band", "n", F.col("node")))
+    store = tested = links = labels = None
+
+    def compare(pairs: DataFrame) -> None:
+        """Adds the links among pairs (x, y) of nodes that weren't compared yet."""
+        nonlocal store, tested, links, labels
+        pairs = pairs.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
+        pairs = stable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        need(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+        found = stable(verified(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), store, threshold))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        old = None if labels is None else labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = stable(components(found.select("a", "b") if old is None else old.unionByName(found.select("a", "b"))))
+
+    def need(wanted: DataFrame) -> None:
+        """Reads the texts of nodes whose grams aren't stored yet."""
+        nonlocal store
+        wanted = wanted.distinct()
         missing = stable((wanted if store is None else wanted.join(store.select("node"), "node", "left_anti")).join(nodes.select("node", "row"), "node"))
-        if store is None:
-            store = used = stable(grams(stored, missing, n))
-        else:
-            if not missing.isEmpty():
-                store = store.unionByName(stable(grams(stored, missing, n)))
-            used = store.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, "node", "left_semi")
-        new = stable(verified(pairs, used, threshold))
-        tested = pairs if tested is None else stable(tested.unionByName(pairs))
-        edges = new if edges is None else edges.unionByName(new)
-        labels = stable(components(edges))
-        edges = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        if led is None:
-            led = early.where("node = leader").select("band", "node")
-        # groups that still hold several components, without their largest one
-        own = held.select("band", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        parts = own.groupBy("band", "label").agg(F.count("*").alias("n"))
-        mixed = stable(parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1"))
-        inside = stable(attach_by_key(own, mixed, "band", "n", F.col("node")))
-        waiting = inside.where(F.col("label") != F.col("most.label")).join(led, ["band", "node"], "left_anti")
-        leaders = stable(waiting.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(count)).alias("part")).agg(F.min("node").alias("leader")).select("band", "leader"))
-        if leaders.isEmpty():
-            return labels
-        led = stable(led.unionByName(leaders.select("band", F.col("leader").alias("node"))))
-        # leaders may be many for one group: its rows are then met by each of them
-        facing = inside.select("band", "node", "n_shingles", "label").join(leaders, "band")
-        facing = facing.select("leader", "node", "n_shingles", "label").where("leader != node").distinct()
-        of_leader = at.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label")), "leader", "left")
-        pairs = facing.join(of_leader, "leader").where(F.col("label") != F.coalesce("leader_label", "leader"))
-        pairs = pairs.join(tested.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti")
-        pairs = pairs.join(tested.select(F.col("b").alias("leader"), F.col("a").alias("node")), ["leader", "node"], "left_anti")
-        count *= 8
-
-
-def numbered_rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """(row, id, text, and the columns ``carry`` as c0, c1 ...), stored: another scan may split the files, and so number the rows, in another way."""
-    return stable(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))))
+        if store is None or not missing.isEmpty():
+            new = stable(grams(rows, missing, n))
+            store = new if store is None else store.unionByName(new)
+
+    compare(held.where((F.col("node") != F.col("lead.node")) & (F.least("n_shingles", "lead.n_shingles") >= threshold * F.greatest("n_shingles", "lead.n_shingles") - 1e-9)).select(F.col("lead.node").alias("x"), F.col("node").alias("y")))
+    inside = mixed_groups(held.select("band", "node", "n_shingles"), labels)
+    if inside.isEmpty():
+        return labels, links
+    some = stable(inside.select("node", "n_shingles").distinct())
+    need(some.select("node"))
+    lone = lone_grams(store.join(small(some.select("node")), "node", "left_semi"), some.agg(F.sum("n_shingles")).first()[0])
+    cores = stable(some.join(lone, "node", "left").select("node", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("core")))
+    best = F.struct(F.greatest("least_n", "core").alias("n_shingles"), F.col("core"))
+    able = possible(F.struct("n_shingles", "core"), best, threshold)
+    held = stable(inside.join(cores, "node").where(able).select("band", "node", "n_shingles", "core"))
+    me = F.struct("node", "label", "n_shingles", "core")
+
+    inside = mixed_groups(held, labels)
+    waiting = inside.where(F.col("label") != F.col("main"))
+    chosen = waiting.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min(me).alias("lead"), F.first("n").alias("n"))
+    chosen = stable(chosen.groupBy("band").agg(F.first("n").alias("n"), F.collect_list("lead").alias("leads")))
+    faced = attach_by_key(inside.drop("n"), chosen, "band", "n", F.col("node")).select(me.alias("me"), F.explode(F.expr("filter(leads, x -> x.label != label)")).alias("lead"))
+    compare(faced.where(possible(F.col("me"), F.col("lead"), threshold)).select(F.col("me.node").alias("x"), F.col("lead.node").alias("y")))
+
+    inside = mixed_groups(held, labels)
+    blocks, asking = (F.ceil(F.col(c) / block) for c in ("n", "rest"))
+    members = inside.select("band", F.pmod(F.xxhash64("node"), blocks).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), asking - 1)).alias("i"), me.alias("y"))
+    asked = inside.where(F.col("label") != F.col("main")).select("band", F.pmod(F.xxhash64("node"), asking).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), me.alias("x"))
+    compare(asked.join(members, ["band", "i", "j"]).where((F.col("x.label") != F.col("y.label")) & possible(F.col("x"), F.col("y"), threshold)).select("x.node", F.col("y.node").alias("other")).toDF("x", "y"))
+    return labels, links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
@@ -242,38 +330,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     BagMinHash signatures share a band and whose bags have that weighted Jaccard similarity. With 25
     bands of 5 slots a pair at 0.8 shares no band with probability 5e-5, at 0.9 with 1e-10.
 
-    Returns row (the place in the input), the id, class_id (least id of the class), class_size,
-    n_shingles, kept (true for one row of each class: the one with the least id). Defined cases: a text
-    without words is a class of its own; a null id counts as larger than any other; of repeated rows
-    the one read first is kept; an empty table gives no rows; other input columns are ignored. Rows are
-    numbered once: the numbers are stored with the texts, and every later job reads that table.
+    Returns row (the place in the input, see ``keyed``), the id, class_id (least id of the class),
+    class_size, n_shingles, kept (true for one row of each class: the one with the least id), and one
+    verified link of each row: link_id (for a copy the first row of its bag; for that row the most
+    similar other one it is linked to; null in a class of one) and similarity.
+
+    Defined cases: a null text counts as empty; a text without words is a class of its own; a very long
+    text is one row of whole grams like any other (some 8 bytes a word); a null id counts as larger
+    than any other; of rows with the same least id one is kept, by place; an empty table gives no rows;
+    other input columns, whatever their names, are ignored. Texts aren't copied if ``docs`` is a plain
+    table of files.
     """
-    return classes_of(numbered_rows(docs, id_col, text_col, []), words, threshold, bands, rows).withColumnRenamed("id", id_col)
+    return classes_of(keyed(docs, {id_col: "id", text_col: "text"}), words, threshold, bands, rows).withColumnRenamed("id", id_col)
 
 
-def classes_of(stored: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
-    """``near_dedup`` of a stored table (row, id, text)."""
-    signed = stable(sign(stored, words, bands * rows, rows))
+def classes_of(numbered_rows: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``near_dedup`` of a numbered table (row, id, text)."""
+    signed = stable(sign(numbered_rows, words, bands * rows, rows))
     best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     some = signed.where("bag is not null")
     nodes = some.groupBy("bag").agg(F.min(best).alias("best"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = stable(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("best.row").alias("row"), "*"))
-    labels = link(stored, nodes, words, threshold)
+    labels, links = link(numbered_rows, nodes, words, threshold)
     named = nodes.drop("bands", "row", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = stable(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("members")))
-    known = stable(attach_by_key(named, classes, "label", "members", F.col("node")).select("bag", "copies", "first", "class_size"))
-    own = attach_by_key(some, known, "bag", "copies", F.col("row"))
-    out = own.select("row", "id", F.col("first.id").alias("class_id"), "class_size", "n_shingles", (F.col("row") == F.col("first.row")).alias("kept"))
-    none = signed.where("bag is null").select("row", "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles", F.lit(True).alias("kept"))
+    # of each node its most similar link, and who that is
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to"), "similarity").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"), "similarity"))
+    closest = stable(ends.groupBy("node").agg(F.max(F.struct("similarity", (-F.col("to")).alias("to"))).alias("x")).select("node", (-F.col("x.to")).alias("to"), "x.similarity"))
+    sizes = stable(closest.groupBy("to").agg(F.count("*").alias("linked")))
+    partners = attach_by_key(closest, sizes.join(nodes.select(F.col("node").alias("to"), F.col("best.id").alias("link_id")), "to"), "to", "linked", F.col("node"), sizes)
+    full = attach_by_key(named, classes, "label", "members", F.col("node")).join(partners.select("node", "link_id", "similarity"), "node", "left")
+    known = stable(full.select("bag", "copies", "first", "class_size", "best", "link_id", "similarity"))
+    own = attach_by_key(some, known, "bag", "copies", F.xxhash64("row"))
+    copy = F.col("row") != F.col("best.row")
+    out = own.select("row", "id", F.col("first.id").alias("class_id"), "class_size", "n_shingles", (F.col("row") == F.col("first.row")).alias("kept"), F.when(copy, F.col("best.id")).otherwise(F.col("link_id")).alias("link_id"), F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"))
+    kind = numbered_rows.schema["id"].dataType
+    none = signed.where("bag is null").select("row", "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles", F.lit(True).alias("kept"), F.lit(None).cast(kind).alias("link_id"), F.lit(None).cast("double").alias("similarity"))
     return out.unionByName(none)
 
 
-def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
-    """The rows that ``near_dedup`` keeps, with all columns. Texts shuffle only if over ``broadcast_rows`` rows go."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
+    """The rows that ``near_dedup`` keeps, with all columns unchanged. Texts shuffle only if the rows that go are too many to broadcast."""
     names = {id_col: "id", text_col: "text"}
-    carry = [c for c in docs.columns if c not in names]
-    names |= {c: f"c{k}" for k, c in enumerate(carry)}
-    stored = numbered_rows(docs, id_col, text_col, carry)
-    found = stable(classes_of(stored, words, threshold, bands, rows).where(~F.col("kept")).select("row"))
-    gone = F.broadcast(found) if found.count() <= broadcast_rows else found
-    return stored.join(gone, "row", "left_anti").select(*(F.col(names[c]).alias(c) for c in docs.columns))
+    names |= {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c not in names)}
+    all_rows = keyed(docs, names)
+    gone = stable(classes_of(all_rows, words, threshold, bands, rows).where(~F.col("kept")).select("row"))
+    return all_rows.join(small(gone), "row", "left_anti").select(*(F.col(names[c]).alias(c) for c in docs.columns))

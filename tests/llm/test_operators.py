@@ -21,7 +21,7 @@ import corpus_pipeline  # noqa: E402
 
 from tessera.llm import queries  # noqa: E402
 from tessera.llm.byte_bpe import Codec, bpe  # noqa: E402
-from tessera.llm.common import attach_by_key, crc_mod  # noqa: E402
+from tessera.llm.common import attach_by_key, crc_mod, keyed  # noqa: E402
 from tessera.llm.decontaminate import WuManber, decontaminate  # noqa: E402
 from tessera.llm.exact_dedup import exact_dedup  # noqa: E402
 from tessera.llm.language_id import CrossParser, identify, language_id, letters  # noqa: E402
@@ -79,7 +79,7 @@ def test_same_as_sql(spark, sf, name):
 
 def test_exact_dedup(stored, nothing):
     df, rows = stored
-    got = exact_dedup(df, hot_rows=3)
+    got = exact_dedup(df)
     assert got.columns == ["doc_id", "text", "lang", "score", "id", "keep_id", "group_size", "kept", "text_sha256"]
     want = brute.exact(rows)
     key = lambda x: tuple(map(str, x))
@@ -94,19 +94,38 @@ def test_exact_dedup(stored, nothing):
 def test_attach_spreads_hot_groups(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 800, 0).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
-    got = attach_by_key(rows, groups, "k", "n", F.col("id"), hot_rows=100, salts=8)
+    got = attach_by_key(rows, groups, "k", "n", F.col("id"))
     assert got.count() == 1000 and got.where("k = 0 and n = 800").count() == 800
 
 
+def hashed(df):
+    """Rows as the operators number them: (row, id, text)."""
+    return [(r["row"], r["id"], r["text"]) for r in keyed(df, {"doc_id": "id", "text": "text"}).collect()]
+
+
 def test_near_dedup(spark, stored, nothing):
-    df, rows = stored
+    df, _ = stored
+    places = sorted(hashed(df), key=lambda r: tuple(r[0]))  # of the same id, the least place stays
+    rows = [(i, t) for _, i, t in places]
     want = brute.near_classes(rows)
-    got = near_dedup(df).orderBy("row").collect()
+    place = {tuple(row): k for k, (row, _, _) in enumerate(places)}
+    got = near_dedup(df).collect()
     assert sorted(brute.ORDER(r["doc_id"]) for r in got) == sorted(brute.ORDER(i) for i, _ in rows)
-    place = {r["row"]: i for i, r in enumerate(df.select(F.monotonically_increasing_id().alias("row")).collect())}
+    text_of = defaultdict(list)
+    for i, t in rows:
+        text_of[i].append(brute.bag(t))
     for r in got:
-        best = want[place[r["row"]]]
-        assert r["class_id"] == rows[best][0] and r["class_size"] == want.count(best) and r["kept"] == (place[r["row"]] == best)
+        k = place[tuple(r["row"])]
+        best = want[k]
+        assert r["class_id"] == rows[best][0] and r["class_size"] == want.count(best) and r["kept"] == (k == best)
+        if r["class_size"] == 1:
+            assert r["similarity"] is None
+        elif r["similarity"] is not None:
+            own = brute.bag(rows[k][1])
+            assert r["similarity"] >= 0.8 and any(abs(sum((own & b).values()) / sum((own | b).values()) - r["similarity"]) < 1e-9 for b in text_of[r["link_id"]])
+    # every class is connected: at most one row of it, whose bag has copies only, is without a link of its own
+    linked = sum(r["class_size"] > 1 and r["similarity"] is None for r in got)
+    assert linked <= len({best for best in want if want.count(best) > 1})
     kept = drop_near_duplicates(df)
     assert kept.count() == len(set(want)) and kept.columns == df.columns
     assert near_dedup(nothing).count() == 0 and drop_near_duplicates(nothing).count() == 0
@@ -129,7 +148,7 @@ def test_rows_keep_their_identity(spark, tmp_path):
 
     df = frame(spark, rows, tmp_path, 1)
     moving = df.mapInArrow(turned, df.schema)
-    for got, want in ((exact_dedup(moving, hot_rows=3).where("kept"), [at for at, x in enumerate(brute.exact(rows)) if x[2]]), (drop_near_duplicates(moving), set(brute.near_classes(rows)))):
+    for got, want in ((exact_dedup(moving).where("kept"), [at for at, x in enumerate(brute.exact(rows)) if x[2]]), (drop_near_duplicates(moving), set(brute.near_classes(rows)))):
         assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(rows[at] for at in want)
 
 
