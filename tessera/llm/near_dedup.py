@@ -152,13 +152,18 @@ def verified(pairs: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def lone_grams(store: DataFrame, total: int, per_task: int = 2_000_000) -> DataFrame:
-    """(node, lone): how many grams of each node no other node of ``store`` has; nodes without any have no row.
+#: Grams are parted by their first seven bits.
+PART_SHIFT = np.uint64(57)
 
-    Grams are dealt out by hash, packed; each task first joins its own repeats, so a gram that all
-    nodes share is a few entries.
+
+def shared_grams(store: DataFrame, total: int, per_task: int = 500_000) -> DataFrame:
+    """(node, core, parts): how many grams of each node some other node of ``store`` has too, and how many of them fall into each of 128 parts by their hash.
+
+    ``total`` is the number of all grams. They are dealt out by hash, packed; each task first joins its
+    own repeats, so a gram that all nodes share is a few entries. parts is null if a number is too
+    large for a short.
     """
-    parts = max(1, -(-total // per_task))
+    tasks = max(1, -(-total // per_task))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -171,11 +176,11 @@ def lone_grams(store: DataFrame, total: int, per_task: int = 2_000_000) -> DataF
             first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
             alone = np.diff(np.concatenate([first, [len(e)]])) == 1
             e, owner = e[first], np.where(alone, owner[first], -1)
-            part = (e % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            cut = [order[ends[k] : ends[k + 1]] for k in range(parts) if ends[k] < ends[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[x[0]]) for x in cut], pa.int64()), pa.array([e[x].tobytes() for x in cut], pa.binary()), pa.array([owner[x].tobytes() for x in cut], pa.binary())], names=["part", "e", "owner"])
+            task = (e % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            ends = np.searchsorted(task[order], np.arange(tasks + 1))
+            cut = [order[ends[k] : ends[k + 1]] for k in range(tasks) if ends[k] < ends[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([int(task[x[0]]) for x in cut], pa.int64()), pa.array([e[x].tobytes() for x in cut], pa.binary()), pa.array([owner[x].tobytes() for x in cut], pa.binary())], names=["task", "e", "owner"])
 
         size = 0
         for batch in batches:
@@ -189,18 +194,32 @@ def lone_grams(store: DataFrame, total: int, per_task: int = 2_000_000) -> DataF
         if held:
             yield from flush()
 
-    def count(packed: pa.Table) -> pa.Table:
+    def find(packed: pa.Table) -> pa.Table:
+        """The parts of each node's grams that it alone has, a byte for each gram."""
         e = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in packed.column("e")])
         owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in packed.column("owner")])
         order = np.argsort(e, kind="stable")
         e, owner = e[order], owner[order]
         same = e[1:] == e[:-1]
-        alone = ~np.concatenate([[False], same]) & ~np.concatenate([same, [False]]) & (owner >= 0)
-        node, n = np.unique(owner[alone], return_counts=True)
-        return pa.table({"node": node, "lone": n.astype(np.int64)})
+        alone = np.flatnonzero(~np.concatenate([[False], same]) & ~np.concatenate([same, [False]]) & (owner >= 0))
+        alone = alone[np.argsort(owner[alone], kind="stable")]
+        node, at = np.unique(owner[alone], return_index=True)
+        lone = np.split((e[alone] >> PART_SHIFT).astype(np.uint8), at[1:])
+        return pa.table({"node": node, "lone": pa.array([x.tobytes() for x in lone[: len(node)]], pa.binary())})
+
+    def subtract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core, parts = [], []
+            for g, lone in zip(batch.column("grams"), batch.column("lone").to_pylist(), strict=True):
+                count = np.bincount((np.frombuffer(g.as_buffer(), np.uint64) >> PART_SHIFT).astype(np.int64), minlength=128)
+                count -= np.bincount(np.frombuffer(b"".join(lone or ()), np.uint8), minlength=128)
+                core.append(int(count.sum()))
+                parts.append(count.astype(np.int16) if count.max() < 2**15 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(core, pa.int64()), pa.array(parts, pa.list_(pa.int16()))], names=["node", "core", "parts"])
 
-    dealt = store.mapInArrow(deal, "part long, e binary, owner binary")
-    return dealt.groupBy("part").applyInArrow(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+    lone = store.mapInArrow(deal, "task long, e binary, owner binary").groupBy("task").applyInArrow(find, "node long, lone binary")
+    both = store.join(lone.groupBy("node").agg(F.collect_list("lone").alias("lone")), "node", "left")
+    return both.select("node", "grams", "lone").mapInArrow(subtract, "node long, core long, parts array<short>")
 
 
 def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
@@ -233,14 +252,23 @@ def components(edges: DataFrame, edges_per_task: int = 100_000) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def reaches(common: Column, a: Column, b: Column, threshold: float) -> Column:
+    """Whether two multisets of those sizes with so much in common are similar enough."""
+    return common >= threshold * (a + b - common) - 1e-9
+
+
 def possible(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two nodes (structs with n_shingles and core, the grams that some other node has too) can be similar enough."""
-    most = F.least(a["core"], b["core"])
-    return most >= threshold * (a["n_shingles"] + b["n_shingles"] - most) - 1e-9
+    """Whether two nodes (structs with n_shingles, core and parts) can be similar enough.
+
+    In each part by hash they have no more grams in common than the one with fewer shared grams there has.
+    """
+    most = F.aggregate(F.zip_with(a["parts"], b["parts"], lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    least = F.least(a["core"], b["core"])
+    return reaches(least, a["n_shingles"], b["n_shingles"], threshold) & reaches(F.coalesce(most.cast("long"), least), a["n_shingles"], b["n_shingles"], threshold)
 
 
 def mixed_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (band, node, n_shingles, core) of groups whose nodes are in different components, with label, and of the group: n, rest, main, least_n.
+    """The rows of ``held`` (band, node, n_shingles and more) of groups whose nodes are in different components, with label, and of the group: n, rest, main, least_n.
 
     main is the label of its largest component, rest the number of nodes outside it, least_n the smallest n_shingles.
     """
@@ -251,7 +279,7 @@ def mixed_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
     return stable(attach_by_key(own, groups, "band", "n", F.col("node")))
 
 
-def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: int = 8, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: int = 4, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the nodes that have a link, and verified links (a, b, similarity) that connect each class.
 
     Candidates are the pairs of nodes that share a band. Their links are found without making all
@@ -260,11 +288,13 @@ def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: i
     1. In each group the least node is compared with all others. That links most of what is alike.
     2. Only groups whose nodes are then in different components matter further. A node is left out of
        such a group if its grams that no other node of these groups has leave too few for any link.
-    3. Of what is still mixed, up to ``leaders`` nodes outside the largest component of a group are
-       compared with the nodes of other components.
+    3. In each group that is still mixed, ``leaders`` nodes that have the fewest grams of their own (one of
+       each part of the group by a hash) are compared with the nodes of other components. A copy that
+       was changed little is near to most copies, so that nearly all links of a large group of copies
+       are found by few comparisons.
     4. In groups that are mixed even then, the nodes outside the largest component are a query set
        against all nodes of other components, in blocks of ``block`` nodes: only pairs that their
-       sizes and shared grams let be similar enough are made.
+       sizes and numbers of shared grams, whole and in 128 parts, let be similar enough are made.
 
     So every pair of a group ends compared, in one component already, or ruled out by a bound that holds.
     """
@@ -300,16 +330,14 @@ def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: i
         return labels, links
     some = stable(inside.select("node", "n_shingles").distinct())
     need(some.select("node"))
-    lone = lone_grams(store.join(small(some.select("node")), "node", "left_semi"), some.agg(F.sum("n_shingles")).first()[0])
-    cores = stable(some.join(lone, "node", "left").select("node", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("core")))
-    best = F.struct(F.greatest("least_n", "core").alias("n_shingles"), F.col("core"))
-    able = possible(F.struct("n_shingles", "core"), best, threshold)
-    held = stable(inside.join(cores, "node").where(able).select("band", "node", "n_shingles", "core"))
-    me = F.struct("node", "label", "n_shingles", "core")
+    cores = stable(shared_grams(store.join(small(some.select("node")), "node", "left_semi"), some.agg(F.sum("n_shingles")).first()[0]))
+    able = reaches(F.col("core"), F.col("n_shingles"), F.greatest("least_n", "core"), threshold)
+    held = stable(inside.join(cores, "node").where(able).select("band", "node", "n_shingles", "core", "parts"))
+    me = F.struct("node", "label", "n_shingles", "core", "parts")
 
     inside = mixed_groups(held, labels)
-    waiting = inside.where(F.col("label") != F.col("main"))
-    chosen = waiting.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min(me).alias("lead"), F.first("n").alias("n"))
+    central = F.min_by(me, F.struct(F.col("n_shingles") - F.col("core"), F.col("node"))).alias("lead")
+    chosen = inside.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(central, F.first("n").alias("n"))
     chosen = stable(chosen.groupBy("band").agg(F.first("n").alias("n"), F.collect_list("lead").alias("leads")))
     faced = attach_by_key(inside.drop("n"), chosen, "band", "n", F.col("node")).select(me.alias("me"), F.explode(F.expr("filter(leads, x -> x.label != label)")).alias("lead"))
     compare(faced.where(possible(F.col("me"), F.col("lead"), threshold)).select(F.col("me.node").alias("x"), F.col("lead.node").alias("y")))
