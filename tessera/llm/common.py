@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Hashable, Iterator
@@ -29,20 +30,26 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_tessera_llm_shipped", False):
         return
-    path = Path(tempfile.mkdtemp(prefix="tessera-")) / f"{PACKAGE.name}_pkg.zip"
+    path = Path(tempfile.mkdtemp(prefix="tessera-")) / f"{PACKAGE.name}_llm_pkg.zip"
     with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
+        for p in sorted(x for kind in ("py", "toml") for x in PACKAGE.rglob(f"*.{kind}")):
             z.write(p, p.relative_to(PACKAGE.parent).as_posix())
     sc.addPyFile(str(path))
     sc._tessera_llm_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a session on one machine (tests) gets a folder of its own if that is unset; on a cluster it is an error.
+    """
+    sc = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_tessera_folder", None):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
+    sc._tessera_folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    return sc._tessera_folder
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -90,14 +97,16 @@ def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, sprea
 def keyed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     """``row`` and the columns ``names`` (old to new): row is the same for the same row in every job.
 
-    A plain table of Parquet files has such a number already: the hash of the file's path, and the
-    place in the file, however the files are split. Rows of any other plan get a number that is stored
-    with them in the shared checkpoint folder, since a second run of the plan may number them in
-    another way (for example after an executor was lost).
+    Rows of Parquet files (selected, renamed or filtered, but nothing else) have such a number already:
+    the hash of the file's path and the place in the file, however the files are split. Rows of any other
+    plan get a number that is stored with them in the shared checkpoint folder, since a second run of
+    the plan may number them in another way (for example after an executor was lost).
     """
     columns = [F.col(f"`{old}`").alias(new) for old, new in names.items()]
     plan = docs._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRelation" and "Relation [" in plan.toString() and plan.toString().rstrip().endswith(" parquet"):
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.toString().rstrip().endswith(" parquet"):
         return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("row"), *columns)
     return stable(docs.select(F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")).alias("row"), *columns))
 

@@ -49,7 +49,7 @@ def contamination(rows, items, n=10):
         ws = fold(text)
         if ws:
             for k in range(max(1, len(ws) - n + 1)):
-                patterns[tuple(ws[k : k + n])].add(str(item))
+                patterns[tuple(ws[k : k + n])].add(None if item is None else str(item))
     sizes = {len(p) for p in patterns}
     out = []
     for _, text in rows:
@@ -100,6 +100,44 @@ def near_classes(rows, threshold=0.8):
     return [out[k] for k in range(len(rows))]
 
 
+def best_fit(items, capacity, bins):
+    """Loads of the bins after best fit of items in falling order; None if they don't fit."""
+    loads = []
+    for x in items:
+        open_ = [(capacity - load, k) for k, load in enumerate(loads) if capacity - load >= x]
+        if open_:
+            loads[min(open_)[1]] += x
+        elif len(loads) < bins and x <= capacity:
+            loads.append(x)
+        else:
+            return None
+    return loads
+
+
+def near_equal(items, shards, slack=0.01):
+    """Loads of the shards: items above the mean alone, the rest in the least capacity found by doubling and halving."""
+    items, done = sorted(items, reverse=True), []
+    while items:
+        room = shards - len(done)
+        if room > 1 and items[0] * room > sum(items):
+            done.append(items.pop(0))
+            continue
+        base, low, extra = max(-(-sum(items) // room), items[0]), -1, 0
+        while best_fit(items, base + extra, room) is None:
+            low, extra = extra, max(1, extra * 2)
+        while extra - low > 1:
+            middle = (low + extra) // 2
+            if best_fit(items, base + middle, room) is None:
+                low = middle
+            else:
+                extra = middle
+        loads = best_fit(items, base + extra, room)
+        if len(loads) < room or min(loads) * room < (1 - slack) * sum(items):
+            raise NotImplementedError("uneven loads: settle the fullest bin only")
+        return [*done, *loads]
+    return done
+
+
 def encoding():
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
