@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +15,7 @@ from .common import ship, text_slices, worker_model
 
 #: No pair, or a place after the end of a piece.
 NONE = np.int32(2**31 - 1)
-#: Widths of the matrices; longer pieces are merged one by one with a heap.
+#: Widths of the matrices of many rows; a longer piece is a matrix of one row, see ``merge_row``.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128)
 
 
@@ -80,26 +79,32 @@ class Codec:
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """Merge the leftmost pair of least rank again and again, with a heap: for pieces too long for a matrix."""
-        ids = [int(self.byte[b]) for b in piece]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-                if (s := self.pairs.get((r, ids[after[j]]))) is not None:
-                    heapq.heappush(heap, (s, i, r, ids[after[j]]))
-            if before[i] >= 0 and (s := self.pairs.get((ids[before[i]], r))) is not None:
-                heapq.heappush(heap, (s, before[i], ids[before[i]], r))
-        return [x for x in ids if x >= 0]
+    def merge_row(self, piece: bytes) -> bytes:
+        """The rounds of one wide row. The leftmost pair of least rank merges, and with it, in the same round, all others of that rank.
+
+        One after another they would merge from left to right, as here, unless a merge made a pair of a
+        lesser rank, which would go first: in such a round only the leftmost pair merges.
+        """
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        rank = self.table.get(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            hit = np.flatnonzero(rank == least)
+            nth = np.arange(len(hit))
+            run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) > 1, nth, 0))
+            hit = hit[(nth - run) % 2 == 0]  # of overlapping pairs the left one merges
+            while True:
+                new = ids.copy()
+                new[hit] = least
+                new, around = np.delete(new, hit + 1), np.delete(rank, hit)
+                at = hit - np.arange(len(hit))
+                near = np.unique(np.concatenate([at - 1, at]))
+                near = near[(near >= 0) & (near < len(around))]
+                around[near] = self.table.get(new[near], new[near + 1])
+                if len(hit) == 1 or not len(near) or around[near].min() > least:
+                    break
+                hit = hit[:1]
+            ids, rank = new, around
+        return ids.astype("<u4").tobytes()
 
     def merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Each round, every row merges its leftmost pair of least rank and is compacted; finished rows leave."""
@@ -143,7 +148,7 @@ class Codec:
             if whole is not None:
                 out[p] = whole.to_bytes(4, "little")
             elif len(p) > WIDTHS[-1]:
-                out[p] = np.array(self.merge_long(p), "<u4").tobytes()
+                out[p] = self.merge_row(p)
             else:
                 by_width[next(w for w in WIDTHS if len(p) <= w)].append(p)
         for width, some in by_width.items():
@@ -187,8 +192,9 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     Returns the columns ``carry`` (default: all) and token_ids (binary, little-endian unsigned 32-bit),
     n_tokens and decoded (binary); input columns with one of these names are replaced. A null or empty
-    text has no tokens; repeated rows each give a row; rows never shuffle. ``ranks_path`` must be
-    readable on the executors.
+    text has no tokens; repeated rows each give a row; an empty table gives none; a very long text is
+    encoded whole, and so is a very long piece. Rows never shuffle. ``ranks_path`` must be readable on
+    the executors.
     """
     ship(docs.sparkSession)
     own = ("token_ids", "n_tokens", "decoded")
