@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,18 +11,81 @@ from pyspark.sql.window import Window
 from .common import attach_by_key, ship, stable
 
 
+class Tree:
+    """A balanced search tree (AVL) of different keys: insert, remove, and the least key from a given one on."""
+
+    __slots__ = ("root",)
+
+    def __init__(self):
+        self.root: list | None = None  # key, left, right, height
+
+    @staticmethod
+    def _height(node: list | None) -> int:
+        return node[3] if node else 0
+
+    def _lift(self, node: list, side: int) -> list:
+        """The child on ``side`` (1 left, 2 right) becomes the parent."""
+        child = node[side]
+        node[side], child[3 - side] = child[3 - side], node
+        for x in (node, child):
+            x[3] = 1 + max(self._height(x[1]), self._height(x[2]))
+        return child
+
+    def _level(self, node: list) -> list:
+        node[3] = 1 + max(self._height(node[1]), self._height(node[2]))
+        for side in (1, 2):
+            child = node[side]
+            if self._height(child) > self._height(node[3 - side]) + 1:
+                if self._height(child[3 - side]) > self._height(child[side]):
+                    node[side] = self._lift(child, 3 - side)
+                return self._lift(node, side)
+        return node
+
+    def _insert(self, node: list | None, key) -> list:
+        if node is None:
+            return [key, None, None, 1]
+        side = 1 if key < node[0] else 2
+        node[side] = self._insert(node[side], key)
+        return self._level(node)
+
+    def _remove(self, node: list, key) -> list | None:
+        if key == node[0]:
+            if not (node[1] and node[2]):
+                return node[1] or node[2]
+            least = node[2]
+            while least[1]:
+                least = least[1]
+            node[0], key = least[0], least[0]
+            node[2] = self._remove(node[2], key)
+        else:
+            side = 1 if key < node[0] else 2
+            node[side] = self._remove(node[side], key)
+        return self._level(node)
+
+    def insert(self, key) -> None:
+        self.root = self._insert(self.root, key)
+
+    def remove(self, key) -> None:
+        self.root = self._remove(self.root, key)
+
+    def least_from(self, key):
+        found, node = None, self.root
+        while node:
+            if node[0] >= key:
+                found, node = node[0], node[1]
+            else:
+                node = node[2]
+        return found
+
+
 class Bins:
-    """Open bins in a balanced order by (remaining capacity, number); the tightest that fits is one search away."""
+    """Open bins in a balanced tree by (remaining capacity, number); the tightest that fits is one search away."""
 
     def __init__(self, capacity: int, limit: int | None = None):
         self.capacity, self.limit = capacity, limit
-        self.order: list[tuple[int, int]] = []
+        self.open = Tree()
         self.used: list[int] = []
 
-    def _put(self, rest: int, number: int, take: int, size: int) -> None:
-        self.used[number] += take * size
-        insort(self.order, (rest - take * size, number))
-
     def place(self, size: int, count: int) -> list[tuple[int, int]] | None:
         """Best fit for ``count`` items of one size, as (bin, items); None if there is no bin left.
 
@@ -32,16 +94,18 @@ class Bins:
         """
         out = []
         while count:
-            at = bisect_left(self.order, (size, -1))
-            if at == len(self.order):
+            tightest = self.open.least_from((size, -1))
+            if tightest is None:
                 if self.limit is not None and len(self.used) >= self.limit or size > self.capacity:
                     return None
                 self.used.append(0)
-                insort(self.order, (self.capacity, len(self.used) - 1))
+                self.open.insert((self.capacity, len(self.used) - 1))
                 continue
-            rest, number = self.order.pop(at)
+            rest, number = tightest
+            self.open.remove(tightest)
             take = min(count, rest // size) if size else count
-            self._put(rest, number, take, size)
+            self.used[number] += take * size
+            self.open.insert((rest - take * size, number))
             out.append((number, take))
             count -= take
         return out
@@ -131,8 +195,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     what is left has a shard of its own, and the others are spread over the remaining shards.
 
     Returns the id, size, text_crc32, group_key (SHA-256), group_size, shard, slot (gapless from 0 in
-    each shard). Defined cases: null and empty texts are one group; repeated rows count each; an empty
-    table gives no rows; other columns are ignored. The input should be a stored table.
+    each shard). Defined cases: null and empty texts are one group; a very long text is a group like any
+    other; repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
