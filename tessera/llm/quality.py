@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stable
+from .common import attach_by_key, ship, stable, text_slices
 
 N_STATISTICS = 20
 
@@ -104,16 +104,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     summed in partitions; the rest calibrate the scores by isotonic regression.
 
     Returns the id, score (0 to 1) and raw_score. Defined cases: null and empty texts have zero
-    statistics and a score like any other; null labels are not learned from; with fewer than 20 labelled
-    rows every score is their share of 1 (0.5 if there are none); repeated rows each give a row; other
-    columns are ignored.
+    statistics and a score like any other; a very long text is described whole; null labels are not
+    learned from; of an id with several labels the mean counts; with fewer than 20 labelled rows every
+    score is their share of 1 (0.5 if there are none); repeated rows each give a row; an empty table
+    gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = [statistics(t) for t in batch.column("text").to_pylist()]
+            stats = [statistics(t) for _, _, texts in text_slices(batch.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(stats, pa.list_(pa.float64()))], names=["id", "stats"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -122,7 +123,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     total = known.count()
     if total > max_rows:
         known = known.where(F.col("h") < int(max_rows / total * (1 << 30)))
-    train = stable(rows.join(known, "id"))
+    # one label for each id: the mean of its labels; an id that very many rows have is spread
+    known = stable(known.groupBy("id").agg(F.avg("y").alias("y"), F.first("h").alias("h")))
+    wanted = F.broadcast(known.select("id")) if total <= 2 * max_rows else known.select("id")
+    some = stable(rows.join(wanted, "id"))
+    sizes = stable(some.groupBy("id").agg(F.count("*").alias("n")))
+    train = stable(attach_by_key(some, sizes.join(known, "id"), "id", "n", F.hash("stats"), sizes).drop("n"))
     size, share = train.agg(F.count("*"), F.avg("y")).first()
     if size < 20 or share in (0, 1):
         even = float(share) if size else 0.5
@@ -140,7 +146,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
 
     schema = f"id {kind}, score double, raw_score double"
     held = train.where(F.col("h") % 4 == 0)
-    pairs = held.select("id", "stats").mapInArrow(score, schema).select("id", "raw_score").join(held.select("id", "y"), "id").select("raw_score", "y").toPandas()
+    pairs = held.select(F.col("y").alias("id"), "stats").mapInArrow(score, "id double, score double, raw_score double").select("raw_score", F.col("id").alias("y")).toPandas()
     at, value = isotonic(pairs["raw_score"].to_numpy(), pairs["y"].to_numpy(float)) if len(pairs) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def calibrated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
