@@ -1,6 +1,7 @@
 import random
 import struct
 import sys
+import zlib
 from collections import defaultdict
 from hashlib import sha256
 from pathlib import Path
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -84,8 +86,11 @@ def test_exact_dedup(stored, nothing):
     want = brute.exact(rows)
     key = lambda x: tuple(map(str, x))
     assert sorted([(r["doc_id"], r["text"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()], key=key) == sorted([(*a, *b) for a, b in zip(rows, want, strict=True)], key=key)
-    light = exact_dedup(df, carry=["doc_id"], max_filter_bits=1)  # a filter of the least size
-    assert light.where("kept").count() == len(set(w[0] for w in want)) or light.where("kept").count() == sum(w[2] for w in want)
+    for options in ({}, {"max_filter_bits": 1, "bits_per_row": 1500}):  # one filter, and slices one after another
+        light = exact_dedup(df, carry=["doc_id"], **options)
+        assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in light.collect()], key=key) == sorted([(a[0], *b) for a, b in zip(rows, want, strict=True)], key=key)
+    sliced = exact_dedup(df, max_filter_bits=1, bits_per_row=1500)
+    assert sorted([(r["doc_id"], r["text"], r["keep_id"], r["kept"]) for r in sliced.collect()], key=key) == sorted([(*a, b[0], b[2]) for a, b in zip(rows, want, strict=True)], key=key)
     assert exact_dedup(nothing).count() == 0
     plan = exact_dedup(df, carry=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -209,14 +214,15 @@ def test_substring_dedup(spark, stored, nothing):
 def test_decontamination(spark, stored, nothing, tmp_path):
     df, rows = stored
     texts = [t for _, t in rows if t and len(t.split()) > 30]
-    items = [(1, " ".join(texts[0].split()[5:20]).upper()), (2, "Changed!"), (3, None), (4, " .,;"), (5, texts[1]), (10, texts[1]), (6, "never there at all in any of these texts whatever happens"), (7, "日本語")]
+    items = [(1, " ".join(texts[0].split()[5:20]).upper()), (2, "Changed!"), (3, None), (4, " .,;"), (5, texts[1]), (10, texts[1]), (6, "never there at all in any of these texts whatever happens"), (7, "日本語"), (None, texts[1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contamination(rows, items)
     key = lambda x: tuple(map(str, x))
     for per_block in (500_000, 3):
         got = decontaminate(df, bench, per_block=per_block)
         flat = [(r["doc_id"], r["n_words"], tuple(sorted(k for s in r["spans"] for k in range(s["start"], s["end"]))), tuple(r["items"])) for r in got.collect()]
-        assert sorted(flat, key=key) == sorted([(i, n, tuple(sorted(hit)), tuple(sorted(found))) for (i, _), (n, hit, found) in zip(rows, want, strict=True)], key=key)
+        by_text = lambda found: tuple(sorted(found, key=lambda x: (x is None, x or "")))
+        assert sorted(flat, key=key) == sorted([(i, n, tuple(sorted(hit)), by_text(found)) for (i, _), (n, hit, found) in zip(rows, want, strict=True)], key=key)
     assert decontaminate(nothing, bench).count() == 0
     assert decontaminate(df, bench.limit(0)).where("size(spans) > 0").count() == 0
     words = [b"a", b"b"] * 6
@@ -236,7 +242,7 @@ def test_byte_bpe(spark, stored, nothing):
     assert bpe(nothing, path, public_tokenizers.PATTERN).count() == 0
     c, rnd = Codec(path, public_tokenizers.PATTERN, cache_size=50), random.Random(2)
     odd = ["".join(rnd.choice("ab c\n\t'é1 9!   日") for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
-    odd += ["x" * 3000, "ab" * 700, " " * 200, "don't 's '", "a\n \n b", "１２３ ½", "́a‍"]
+    odd += ["x" * 3000, "x" * 100_000, "".join(rnd.choice("abcdefghié") for _ in range(100_000)), "".join(rnd.choice("ab") for _ in range(5000)), "the" * 2000, "ab" * 700, " " * 200, "don't 's '", "a\n \n b", "１２３ ½", "́a‍"]
     assert [np.frombuffer(x, "<u4").tolist() for x in c.encode_batch(odd)] == [e.encode_ordinary(t) for t in odd]
 
 
@@ -260,33 +266,76 @@ def test_token_counts(spark, stored, nothing):
     assert [n for n, _ in mine.count(odd)] == [len(u.encode(x).ids) for x in odd]
 
 
+def greedy(reference, s):
+    """Phrases of the longest-match parse of s by the substrings of reference."""
+    want = at = 0
+    while at < len(s):
+        size = 0
+        while at + size < len(s) and s[at : at + size + 1] in reference:
+            size += 1
+        at += max(1, size)
+        want += 1
+    return want
+
+
+def read(t):
+    """What the parser reads of a text: its words of letters, each but a last one at the very end followed by a gap."""
+    s = "".join(f"{w} " for w in letters(t).split())
+    return s if letters(t).endswith(" ") else s[:-1]
+
+
 def test_language_parsing():
-    """Phrase counts against a direct greedy parse, and the winner."""
+    """Phrase counts are those of a direct greedy parse of the whole text, however it is cut into blocks."""
     rnd = random.Random(6)
-    training = {"aa": "".join(rnd.choice("abc ") for _ in range(900)), "bb": "".join(rnd.choice("bcd ") for _ in range(700))}
-    parser = CrossParser(training, block=50)
-    texts = ["".join(rnd.choice("abcdx ") for _ in range(rnd.randint(0, 170))) for _ in range(60)] + ["", "!!", "abcab", "q"]
-    length, counts = parser.phrases(texts)
-    known = [" ".join(letters(training[k]).split()) for k in parser.langs]
-    for t, n, row in zip(texts, length, counts, strict=True):
-        s = "".join(f"{w} " for w in letters(t).split())
-        if s and not letters(t).rstrip(" ") != letters(t):
-            s = s[:-1]
-        assert n == len(s)
-        for reference, got in zip(known, row, strict=True):
-            want = 0
-            for b in range(0, len(s), 50):
-                part, at = s[b : b + 50], 0
-                while at < len(part):
-                    size = 0
-                    while at + size < len(part) and part[at : at + size + 1] in reference:
-                        size += 1
-                    at += max(1, size)
-                    want += 1
-            assert abs(got - want) <= 1 + n // 50
+    training = {"aa": "".join(rnd.choice("abc ") for _ in range(900)), "bb": "".join(rnd.choice("bcd ") for _ in range(700)), "cc": "ab" * 300}
+    texts = ["".join(rnd.choice("abcdx ") for _ in range(rnd.randint(0, 170))) for _ in range(60)] + ["", "!!", "abcab", "q", "ab" * 400, "abab" * 90 + "c" + "ba" * 200, training["aa"], "x" * 130]
+    for block, dense in ((1, 1 << 25), (7, 1 << 25), (50, 0), (1024, 1 << 25)):
+        parser = CrossParser(training, block=block, dense_cells=dense)
+        length, counts = parser.phrases(texts)
+        known = [" ".join(letters(training[k]).split()) for k in parser.langs]
+        for t, n, row in zip(texts, length, counts, strict=True):
+            assert n == len(read(t)) and row.tolist() == [greedy(x, read(t)) for x in known]
     assert [x[0] for x in parser.classify(["", "!1", None, "abcab"])][:3] == ["und"] * 3
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of texts, unsigned."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode(), seed=h)
+    return h
+
+
+def test_language_id_against_plain(spark, sf):
+    """The whole query on all texts that are not very long: the sample of labelled rows, and a greedy parse for each language."""
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    rows = [(i, t, g) for i, t, g in zip(docs.doc_id, docs.text, docs.lang, strict=True) if t and g is not None]
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    buckets = defaultdict(lambda: defaultdict(list))
+    for i, t, g in rows:
+        if zlib.crc32(str(i).encode()) % 5 and len(t) <= 20_000:
+            h = signed(spark_hash(str(i), t))
+            buckets[g][h % 320].append((h, t))
+    training = {}
+    for g, found in buckets.items():
+        have = []
+        for _, t in sorted(min(x) for x in found.values())[:80]:
+            if sum(map(len, have)) < 40_000:
+                have.append(t)
+        training[g] = " ".join(letters("\n".join(have)).split())
+    bits = {g: np.log2(len(t)) for g, t in training.items()}
+    got = {r["doc_id"]: r for r in queries.op2_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        s = read(t or "")
+        if not s or len(s) > 1500:
+            continue
+        rate = {g: greedy(training[g], s) * bits[g] / len(s) for g in sorted(training)}
+        best = min(rate, key=rate.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["bits_per_symbol"] - rate[best]) < 1e-9
+        assert abs(got[i]["score"] - 1 / sum((rate[best] / x) ** 12 for x in rate.values())) < 1e-9
+
+
 def many_letters(rnd, words, n):
     """Text of words of Chinese characters without spaces, the commonest about forty times as often as the rarest, in sentences."""
     picked = rnd.choices(words, [(k + 1) ** -0.5 for k in range(len(words))], k=n)
@@ -343,7 +392,7 @@ def test_language_id(spark, sf, stored, nothing):
     assert len(got) == docs.count() and (held.lang_pred == held.lang).mean() > 0.95 and got.score.between(0, 1).all()
     df, rows = stored
     found = language_id(df, learn=crc_mod(F.col("doc_id"), 5) != 0)
-    assert found.count() == len(rows) and found.columns[-3:] == ["lang_pred", "score", "bits_per_symbol"]
+    assert found.count() == len(rows) and found.columns[-4:] == ["lang_pred", "score", "bits_per_symbol", "n_symbols"]
     assert {r["lang_pred"] for r in found.where("text is null or text in ('', '... !!!')").collect()} == {"und"}
     assert language_id(nothing, learn=F.lit(True)).count() == 0
     assert identify(df, {}).where("lang_pred <> 'und'").count() == 0
@@ -363,6 +412,29 @@ def test_quality(spark, sf, stored, nothing):
     assert not any(statistics(None)) and len(statistics("a b")) == len(statistics(""))
 
 
+def test_quality_against_plain(spark):
+    """The whole query with plain numpy: split, statistics, ridge over the features, and the isotonic fit by its definition."""
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    label = {i: y for i, y in zip(*pd.read_parquet(f"{sf}/labels.parquet")[["doc_id", "quality"]].to_numpy().T, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1}
+    x = np.array([statistics(t) for t in docs.text])
+    known = np.array([i in label for i in docs.doc_id])
+    y = np.array([label.get(i, 0) for i in docs.doc_id], float)
+    part = np.array([spark_hash(str(i)) % 4 for i in docs.doc_id])
+    f = Fourier(x[known].mean(0), x[known].std(0), 300, 4.0)
+    z = f(x)
+    fit, held = known & (part != 0), known & (part == 0)
+    a = z[fit].T @ z[fit]
+    raw = z @ np.linalg.solve(a + 1e-3 * max(1.0, np.trace(a) / len(a)) * np.eye(len(a)), z[fit].T @ y[fit])
+    order = np.argsort(raw[held], kind="stable")
+    s, t = raw[held][order], y[held][order]
+    sums = np.concatenate([[0], np.cumsum(t)])
+    value = [max(min((sums[b] - sums[a]) / (b - a) for b in range(i + 1, len(t) + 1)) for a in range(i + 1)) for i in range(len(t))]
+    want = np.clip(np.interp(raw, s, value) + 1e-6 * np.tanh(raw - 0.5), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in queries.op5_quality(spark, sf).collect()}
+    assert max(abs(got[i] - w) for i, w in zip(docs.doc_id, want, strict=True)) < 1e-6
+
+
 def test_isotonic_and_kernel():
     at, value = isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert np.interp([1, 2, 3, 5], at, value).tolist() == [0, 0.5, 0.5, 1]
@@ -416,6 +488,17 @@ def test_sharding_hot_group(spark, tmp_path):
     assert rest.max() <= 1.01 * rest.mean() and rest.min() >= 0.98 * rest.mean()
 
 
+def test_sharding_against_plain(spark):
+    """The whole query: best fit over all groups, one at a time."""
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    groups = defaultdict(int)
+    for t in docs.text:
+        groups[t or ""] += len((t or "").encode()) + 1
+    got = queries.op6_sharding(spark, "/root/testdata/sf0.01").toPandas()
+    assert sorted(got.groupby("shard")["size"].sum()) == sorted(brute.near_equal(list(groups.values()), 16))
+    assert (got.groupby("group_key").shard.nunique() == 1).all() and got.group_key.nunique() == len(groups)
+
+
 def test_near_equal():
     """Every item is placed once, no shard stays empty while there are items enough, and the fullest is no fuller than by one capacity."""
     assert sorted(near_equal([(10, 17)], 16)[1]) == [10] * 15 + [20]
@@ -445,12 +528,20 @@ def test_revisits(spark):
         r(15, 10_000, "revisit", {"etag": '"2"', "vary": "v"}), r(16, 9_000, "revisit", {"etag": '"q"'}, url="https://e.com/a"),
     ]
     df = spark.createDataFrame(rows, RECORDS)
-    for splits in (1, 7, 1000):
-        got = {x["record_id"]: (x["base_id"], x["status"]) for x in resolve_revisits(df, splits=splits).collect()}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for number in (1, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", number)
+        got = {x["record_id"]: (x["base_id"], x["status"]) for x in resolve_revisits(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
         assert got == {2: (1, "resolved"), 4: (3, "validator_mismatch"), 5: (3, "resolved"), 6: (3, "no_validator"), 7: (None, "no_response"), 8: (3, "resolved"), 9: (3, "validator_mismatch"), 10: (None, "bad_url"), 11: (None, "bad_url"), 12: (3, "resolved"), 14: (None, "no_response"), 15: (3, "resolved"), 16: (None, "no_response")}
     found = {x["record_id"]: x for x in resolve_revisits(df).collect()}
     assert found[2]["headers"] == {"etag": 'W/"1"', "content-type": "t", "date": "d2"} and found[2]["digest"] == "D1" and found[4]["headers"] is None
     assert resolve_revisits(df.limit(0)).count() == 0
+    # one moment, repeated rows, null ids
+    burst = [r(k, 5, "response" if k % 10 == 0 else "revisit", {"etag": f'"{k // 10}"'}) for k in range(300)] * 2 + [r(None, 5, "response", {"etag": '"n"'}), r(None, 5, "revisit", {"etag": '"n"'}), r(None, 6, "revisit", {"etag": '"29"'})]
+    found = resolve_revisits(spark.createDataFrame(burst, RECORDS).repartition(5)).collect()
+    assert len(found) == 2 * 270 + 2 and all(x["status"] == "resolved" and x["base_id"] == x["record_id"] // 10 * 10 for x in found if x["record_id"] is not None)
+    assert sorted((x["ts"], x["status"], x["base_id"]) for x in found if x["record_id"] is None) == [(5, "no_response", None), (6, "resolved", 290)]
     urls = spark.createDataFrame([("HTTPS://A.b:443?q#f",), ("http://a.b:443/x",), ("ftp://a:21/",), ("/x",), (None,)], "u string")
     assert [x[0] for x in urls.select(canonical_url(F.col("u"))).collect()] == ["https://a.b/?q", "http://a.b:443/x", "ftp://a/", None, None]
 

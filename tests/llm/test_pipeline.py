@@ -36,3 +36,23 @@ def test_empty_table(spark, sf, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_stay_as_they_are(spark, tmp_path):
+    """Input columns with the names of results, and others, come through the filters unchanged; encoding renames those it has itself."""
+    clash = ["score", "lang_pred", "bits_per_symbol", "kept", "keep_id", "group_size", "text_sha256", "items", "spans", "n_words", "row", "id", "class_id", "n_tokens", "round_trip", "odd name"]
+    words = ["plain", "words", "here", "and", "there", "again", "more", "of", "them"]
+    rows = [(i, " ".join(words[(i * k) % 9] for k in range(20)) + f" n{i}", "en", "s", 1, *(f"{c} {i}" for c in clash)) for i in range(40)]
+    spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *clash]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r.asDict() == before[r["doc_id"]] for r in rows), name
+    coded = corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()
+    for r in coded:
+        have, old = r.asDict(), before[r["doc_id"]]
+        assert have["round_trip"] and have["n_tokens"] > 0 and all(have[f"{c}_in" if c in ("n_tokens", "round_trip") else c] == old[c] for c in old)
