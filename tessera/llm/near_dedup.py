@@ -123,15 +123,16 @@ def grams(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return picked.mapInArrow(run, "node long, grams binary")
 
 
-def verified(pairs: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) whose multisets of shingles have at least that Jaccard similarity.
+def verified(pairs: DataFrame, store: DataFrame, threshold: float, pairs_per_task: int = 5000) -> DataFrame:
+    """(a, b, similarity) of the stored pairs (a, b) whose multisets of shingles have at least that Jaccard similarity.
 
     A node of very many pairs is spread: its grams go to several tasks, once to each.
     """
+    parts = -(-pairs.count() // pairs_per_task) or 1
 
     def with_grams(rows: DataFrame, key: str, other: str, name: str) -> DataFrame:
-        sizes = stable(rows.groupBy(key).agg(F.count("*").alias("n")))
-        groups = sizes.join(store.select(F.col("node").alias(key), F.col("grams").alias(name)), key)
+        sizes = stable(rows.groupBy(key).agg(F.count("*").alias("n")).coalesce(parts))
+        groups = store.select(F.col("node").alias(key), F.col("grams").alias(name)).join(small(sizes), key)
         return attach_by_key(rows, groups, key, "n", F.col(other), sizes).drop("n")
 
     # the node that fewer pairs share is joined first, so that its grams are what moves with the pairs
@@ -149,7 +150,7 @@ def verified(pairs: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(np.array(found) >= threshold - 1e-12, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.coalesce(parts).mapInArrow(run, "a long, b long, similarity double")
 
 
 #: Grams are parted by their first seven bits.
@@ -267,7 +268,12 @@ def possible(a: Column, b: Column, threshold: float) -> Column:
     return reaches(least, a["n_shingles"], b["n_shingles"], threshold) & reaches(F.coalesce(most.cast("long"), least), a["n_shingles"], b["n_shingles"], threshold)
 
 
-def mixed_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
+def tasks(rows: int, rows_per_task: int = 50_000) -> int:
+    """How many tasks so many short rows need: more would be many small files."""
+    return max(1, rows // rows_per_task)
+
+
+def mixed_groups(held: DataFrame, labels: DataFrame, few: int) -> DataFrame:
     """The rows of ``held`` (band, node, n_shingles and more) of groups whose nodes are in different components, with label, and of the group: n, rest, main, least_n.
 
     main is the label of its largest component, rest the number of nodes outside it, least_n the smallest n_shingles.
@@ -275,8 +281,8 @@ def mixed_groups(held: DataFrame, labels: DataFrame) -> DataFrame:
     own = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = own.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least_n"))
     groups = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.min("least_n").alias("least_n"))
-    groups = stable(groups.where(F.col("most.n") < F.col("n")).select("band", "n", (F.col("n") - F.col("most.n")).alias("rest"), F.col("most.label").alias("main"), "least_n"))
-    return stable(attach_by_key(own, groups, "band", "n", F.col("node")))
+    groups = stable(groups.where(F.col("most.n") < F.col("n")).select("band", "n", (F.col("n") - F.col("most.n")).alias("rest"), F.col("most.label").alias("main"), "least_n").coalesce(few))
+    return stable(attach_by_key(own, groups, "band", "n", F.col("node")).coalesce(few))
 
 
 def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: int = 4, block: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -299,15 +305,17 @@ def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: i
     So every pair of a group ends compared, in one component already, or ruled out by a bound that holds.
     """
     spread = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    groups = stable(spread.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count("*").alias("n")).where("n > 1"))
-    held = stable(attach_by_key(spread, groups, "band", "n", F.col("node")))
+    groups = spread.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    groups = stable(groups.coalesce(tasks(nodes.count())))
+    few = tasks(groups.agg(F.sum("n")).first()[0] or 0)  # what follows has a row for each node and group at most
+    held = stable(attach_by_key(spread, groups, "band", "n", F.col("node")).coalesce(few))
     store = tested = links = labels = None
 
     def compare(pairs: DataFrame) -> None:
         """Adds the links among pairs (x, y) of nodes that weren't compared yet."""
         nonlocal store, tested, links, labels
         pairs = pairs.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
-        pairs = stable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = stable((pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")).coalesce(few))
         need(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         found = stable(verified(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), store, threshold))
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -319,30 +327,30 @@ def link(rows: DataFrame, nodes: DataFrame, n: int, threshold: float, leaders: i
         """Reads the texts of nodes whose grams aren't stored yet."""
         nonlocal store
         wanted = wanted.distinct()
-        missing = stable((wanted if store is None else wanted.join(store.select("node"), "node", "left_anti")).join(nodes.select("node", "row"), "node"))
+        missing = stable((wanted if store is None else wanted.join(store.select("node"), "node", "left_anti")).join(nodes.select("node", "row"), "node").coalesce(few))
         if store is None or not missing.isEmpty():
             new = stable(grams(rows, missing, n))
             store = new if store is None else store.unionByName(new)
 
     compare(held.where((F.col("node") != F.col("lead.node")) & (F.least("n_shingles", "lead.n_shingles") >= threshold * F.greatest("n_shingles", "lead.n_shingles") - 1e-9)).select(F.col("lead.node").alias("x"), F.col("node").alias("y")))
-    inside = mixed_groups(held.select("band", "node", "n_shingles"), labels)
+    inside = mixed_groups(held.select("band", "node", "n_shingles"), labels, few)
     if inside.isEmpty():
         return labels, links
-    some = stable(inside.select("node", "n_shingles").distinct())
+    some = stable(inside.select("node", "n_shingles").distinct().coalesce(few))
     need(some.select("node"))
     cores = stable(shared_grams(store.join(small(some.select("node")), "node", "left_semi"), some.agg(F.sum("n_shingles")).first()[0]))
     able = reaches(F.col("core"), F.col("n_shingles"), F.greatest("least_n", "core"), threshold)
-    held = stable(inside.join(cores, "node").where(able).select("band", "node", "n_shingles", "core", "parts"))
+    held = stable(inside.join(cores, "node").where(able).select("band", "node", "n_shingles", "core", "parts").coalesce(few))
     me = F.struct("node", "label", "n_shingles", "core", "parts")
 
-    inside = mixed_groups(held, labels)
+    inside = mixed_groups(held, labels, few)
     central = F.min_by(me, F.struct(F.col("n_shingles") - F.col("core"), F.col("node"))).alias("lead")
     chosen = inside.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(central, F.first("n").alias("n"))
-    chosen = stable(chosen.groupBy("band").agg(F.first("n").alias("n"), F.collect_list("lead").alias("leads")))
+    chosen = stable(chosen.groupBy("band").agg(F.first("n").alias("n"), F.collect_list("lead").alias("leads")).coalesce(few))
     faced = attach_by_key(inside.drop("n"), chosen, "band", "n", F.col("node")).select(me.alias("me"), F.explode(F.expr("filter(leads, x -> x.label != label)")).alias("lead"))
     compare(faced.where(possible(F.col("me"), F.col("lead"), threshold)).select(F.col("me.node").alias("x"), F.col("lead.node").alias("y")))
 
-    inside = mixed_groups(held, labels)
+    inside = mixed_groups(held, labels, few)
     blocks, asking = (F.ceil(F.col(c) / block) for c in ("n", "rest"))
     members = inside.select("band", F.pmod(F.xxhash64("node"), blocks).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), asking - 1)).alias("i"), me.alias("y"))
     asked = inside.where(F.col("label") != F.col("main")).select("band", F.pmod(F.xxhash64("node"), asking).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), me.alias("x"))
@@ -378,17 +386,19 @@ def classes_of(numbered_rows: DataFrame, words: int, threshold: float, bands: in
     best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     some = signed.where("bag is not null")
     nodes = some.groupBy("bag").agg(F.min(best).alias("best"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    nodes = stable(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("best.row").alias("row"), "*"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), F.col("best.row").alias("row"), "*")
+    nodes = stable(nodes.coalesce(tasks(signed.count(), 10_000)))
     labels, links = link(numbered_rows, nodes, words, threshold)
     named = nodes.drop("bands", "row", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = stable(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("members")))
+    few = tasks(nodes.count(), 10_000)
+    classes = stable(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("members")).coalesce(few))
     # of each node its most similar link, and who that is
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("to"), "similarity").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"), "similarity"))
-    closest = stable(ends.groupBy("node").agg(F.max(F.struct("similarity", (-F.col("to")).alias("to"))).alias("x")).select("node", (-F.col("x.to")).alias("to"), "x.similarity"))
-    sizes = stable(closest.groupBy("to").agg(F.count("*").alias("linked")))
+    closest = stable(ends.groupBy("node").agg(F.max(F.struct("similarity", (-F.col("to")).alias("to"))).alias("x")).select("node", (-F.col("x.to")).alias("to"), "x.similarity").coalesce(few))
+    sizes = stable(closest.groupBy("to").agg(F.count("*").alias("linked")).coalesce(few))
     partners = attach_by_key(closest, sizes.join(nodes.select(F.col("node").alias("to"), F.col("best.id").alias("link_id")), "to"), "to", "linked", F.col("node"), sizes)
     full = attach_by_key(named, classes, "label", "members", F.col("node")).join(partners.select("node", "link_id", "similarity"), "node", "left")
-    known = stable(full.select("bag", "copies", "first", "class_size", "best", "link_id", "similarity"))
+    known = stable(full.select("bag", "copies", "first", "class_size", "best", "link_id", "similarity").coalesce(few))
     own = attach_by_key(some, known, "bag", "copies", F.xxhash64("row"))
     copy = F.col("row") != F.col("best.row")
     out = own.select("row", "id", F.col("first.id").alias("class_id"), "class_size", "n_shingles", (F.col("row") == F.col("first.row")).alias("kept"), F.when(copy, F.col("best.id")).otherwise(F.col("link_id")).alias("link_id"), F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"))
