@@ -306,9 +306,10 @@ def identify(docs: DataFrame, training: dict[str, str], text_col: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = worker_model(("language_id", key), lambda: shared.value)
         for batch in batches:
-            found = [x for _, _, texts in text_slices(batch.column("__text")) for x in parser.classify(texts)]
-            new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *new], names=[*(f"__c{i}" for i in range(len(names))), *own])
+            for a, b, texts in text_slices(batch.column("__text")):
+                found, part = parser.classify(texts), batch.slice(a, b - a)
+                new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *new], names=[*(f"__c{i}" for i in range(len(names))), *own])
 
     rows = docs.selectExpr(*(f"`{c}` as `__c{i}`" for i, c in enumerate(names)), f"`{text_col}` as __text")
     schema = ", ".join([*(f"`__c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "lang_pred string, score double, bits_per_symbol double, n_symbols long"])
