@@ -73,7 +73,7 @@ class Codec:
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a, b] = i
-        self.pairs, self.table = pairs, PairTable(pairs)
+        self.table = PairTable(pairs)
         self.find = regex.compile(pattern).findall
         self.tangled = re.compile(r"\s \s|\s \Z").search
         self.cache: dict[str, bytes] = {}
