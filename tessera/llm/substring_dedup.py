@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_slices, worker_model
+from .common import keyed, ship, text_slices, worker_model
 from .text_hash import ODD, mix, run_hashes, word_hashes, words_of
 
 #: Each difference modulo 13 is one between two of these, so that any two positions have a common distance to the next ones.
@@ -90,17 +91,19 @@ def _mark(low: np.ndarray, width: int) -> np.ndarray:
     return (low.astype(np.uint64) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
 
 
-def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: int, buckets: int, bitmaps: list[bytes], bits: int, chunk: int = 500_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, files: np.ndarray, window: int, run: int, buckets: int, bitmaps: list[bytes], bits: int, chunk: int = 500_000) -> DataFrame:
     """(row, spans): what the windows that also start earlier cover, as pairs of int32 (end exclusive); one row for each row with any.
 
-    Only windows with a repeated anchor in reach are hashed whole. A task keeps the earliest of equal
+    ``docs`` has row, id and text; ``files`` are the numbers of its files in order, so that a row is one
+    number here. Only windows with a repeated anchor in reach are hashed whole. A task keeps the earliest of equal
     windows and already knows that its others are repeated; so it sends each window once. What a bucket
     of windows finds goes back in one piece to each of as many buckets of rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmaps)
     width = bits // buckets  # a multiple of 8
-    key = hash(tuple(bitmaps))
+    key = uuid.uuid4().hex
+    shift = 40 if len(files) > 1 else 0  # a row's place in its file is below 2^40
     names = ["bucket", "h1", "h2", "id", "row", "start", "known_row", "known_start"]
     kinds = [pa.int32(), *[pa.binary()] * 7]
 
@@ -145,7 +148,7 @@ def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: i
         held, size = [], 0
         for batch in batches:
             ids = batch.column("id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = batch.column("row").to_numpy(zero_copy_only=False)
+            rows = np.searchsorted(files, batch.column("file").to_numpy(zero_copy_only=False)) << shift | batch.column("place").to_numpy(zero_copy_only=False)
             for a, _, texts in text_slices(batch.column("text")):
                 flat = Flat(texts)
                 at, h1, h2 = extend(flat, marks)
@@ -185,12 +188,15 @@ def repeated_starts(docs: DataFrame, id_col: str, text: str, window: int, run: i
         pairs = np.stack([start[first], start[last] + window], 1).astype(np.int32)
         at = np.flatnonzero(new_row[first])
         cut = np.r_[at, len(first)]
-        return pa.table({"row": pa.array(rows[first[at]], pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        found = rows[first[at]]
+        file = files[found >> shift] if shift else np.repeat(files, len(found))
+        return pa.table({"file": pa.array(file, pa.int64()), "place": pa.array(found & (1 << shift or 1 << 63) - 1, pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    source = docs.select("row.file", "row.place", F.col("id").cast("long").alias("id"), "text")
     sent = source.mapInArrow(send, "bucket int, h1 binary, h2 binary, id binary, row binary, start binary, known_row binary, known_start binary")
     back = sent.groupBy("bucket").applyInArrow(gather, "home int, row binary, start binary")
-    return back.groupBy("home").applyInArrow(spans, "row long, spans binary")
+    out = back.groupBy("home").applyInArrow(spans, "file long, place long, spans binary")
+    return out.select(F.struct("file", "place").alias("row"), "spans")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, max_filter_bits: int = 1 << 30) -> DataFrame:
@@ -204,16 +210,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors are then compared by a 96-bit hash of all their words.
 
     Returns the id, n_words, n_removed, kept (the other words, joined by one space) and removed (spans of
-    words, end exclusive). Defined cases: a null text has no words; a null id counts as larger than any
-    other; of rows with one id the one read first is earlier; an empty table gives no rows; other columns
-    are ignored. The id must be an integer and the input a stored table, since rows are known by place.
+    words, end exclusive). Defined cases: a null text has no words; a very long text is one row like any
+    other; a null id counts as larger than any other; of rows with one id the first by place (see
+    ``keyed``) is earlier; an empty table gives no rows; other columns are ignored. The id must be an
+    integer. The driver holds one number for each file.
     """
     spark = docs.sparkSession
     ship(spark)
     run = window - PERIOD + 1
     if run < 2:
         raise ValueError(f"a window needs {PERIOD + 1} words at least")
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    rows = keyed(docs, {id_col: "id", text_col: "text"})
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = size // 5 + 1  # about; only for sizes
     buckets = 8
     while buckets * 2_000_000 < words:
@@ -222,10 +230,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while bits < min(4 * words * len(COVER) // PERIOD, max_filter_bits):
         bits *= 2
     bits = max(bits, 64 * buckets)
-    bitmaps = repeated_anchors(docs, text_col, run, buckets, bits)
-    found = repeated_starts(docs, id_col, text_col, window, run, buckets, bitmaps, bits)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = source.join(found.hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
+    bitmaps = repeated_anchors(rows, "text", run, buckets, bits)
+    files = np.sort(np.array([r["file"] for r in rows.select("row.file").distinct().collect()], np.int64))
+    found = repeated_starts(rows, files, window, run, buckets, bitmaps, bits)
+    joined = rows.join(found.hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
