@@ -208,17 +208,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     classes.sort(reverse=True)
     plan, _ = near_equal(classes, shards)
     spans = []
-    for (size, _), bins in zip(classes, plan, strict=True):
-        at = 0
+    for (size, n), bins in zip(classes, plan, strict=True):
+        at, own = 0, []
         for number, count in bins:
-            spans.append((size, at, at + count, number))
+            own.append((at, at + count, number))
             at += count
+        spans.append((size, n, own))
     total = sum(n for _, n in classes)
     buckets = max(1, -(-total // rows_per_bucket))
-    where = spark.createDataFrame(spans, "span_size long, span_from long, span_end long, shard int")
+    where = stable(spark.createDataFrame(spans, "group_size long, groups long, spans array<struct<first:long,end:long,shard:int>>"))
     ranked = numbered(groups, ["group_size"], "group_key", ["group_key"], buckets, "nth")
-    # a size has one span for each bin that it fills, so this join gives one row for each group
-    placed = ranked.join(where, (F.col("group_size") == F.col("span_size")) & (F.col("nth") >= F.col("span_from")) & (F.col("nth") < F.col("span_end"))).select("group_key", "copies", "group_size", "shard")
+    # a size may have very many groups, which are spread; it has at most one span for each shard
+    found = attach_by_key(ranked, where, "group_size", "groups", F.col("group_key"))
+    shard = F.filter("spans", lambda x: (F.col("nth") >= x["first"]) & (F.col("nth") < x["end"]))[0]["shard"]
+    placed = found.select("group_key", "copies", "group_size", shard.alias("shard"))
     placed = attach_by_key(rows, stable(placed), "group_key", "copies", F.col("row"))
     slotted = numbered(placed, ["shard"], "row", ["id", "row"], max(1, -(-rows.count() // (shards * rows_per_bucket))), "slot")
     return slotted.select(F.col("id").alias(id_col), "size", "text_crc32", "group_key", "group_size", "shard", "slot")

@@ -158,8 +158,9 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Spaces become word starts and one is put before the text; pieces never go across a word start, so
     each different word is solved once. An Aho-Corasick automaton finds all pieces that end at a place;
     dynamic programming carries the best score and the count of pieces. Returns the id, n_tokens and
-    score (sum of the pieces' scores). A null or empty text has no tokens; repeated rows each give a row;
-    other columns are ignored; rows never shuffle. ``model_path`` must be readable on the executors.
+    score (sum of the pieces' scores). A null or empty text has no tokens; a very long text is counted
+    whole; repeated rows each give a row; an empty table gives none; other columns are ignored; rows
+    never shuffle. ``model_path`` must be readable on the executors.
     """
     ship(docs.sparkSession)
 
