@@ -27,7 +27,7 @@ from tessera.llm.common import attach_by_key, crc_mod, keyed  # noqa: E402
 from tessera.llm.decontaminate import WuManber, decontaminate  # noqa: E402
 from tessera.llm.exact_dedup import exact_dedup  # noqa: E402
 from tessera.llm.language_id import CrossParser, identify, language_id, letters  # noqa: E402
-from tessera.llm.near_dedup import BagMinHash, components, drop_near_duplicates, near_dedup  # noqa: E402
+from tessera.llm.near_dedup import BagMinHash, components, drop_near_duplicates, near_dedup, possible, shared_grams  # noqa: E402
 from tessera.llm.quality import Fourier, isotonic, quality_scores, statistics  # noqa: E402
 from tessera.llm.revisit import canonical_url, resolve_revisits  # noqa: E402
 from tessera.llm.sharding import near_equal, pack, shard_by_bytes, smallest_capacity  # noqa: E402
@@ -155,6 +155,7 @@ def test_rows_keep_their_identity(spark, tmp_path):
     moving = df.mapInArrow(turned, df.schema)
     for got, want in ((exact_dedup(moving).where("kept"), [at for at, x in enumerate(brute.exact(rows)) if x[2]]), (drop_near_duplicates(moving), set(brute.near_classes(rows)))):
         assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(rows[at] for at in want)
+    assert sorted((r["doc_id"], r["kept"]) for r in substring_dedup(moving).collect()) == sorted((i, w) for (i, _), w in zip(rows, brute.substring(rows), strict=True))
 
 
 def test_near_dedup_mixed_group(spark, tmp_path):
@@ -195,6 +196,49 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_dedup_recall(spark):
+    """All classes of 1,000 documents are those of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = [rows[k][0] for k in brute.near_classes(rows)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup(docs).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_shared_grams(spark):
+    """Cores and parts against sets; and the bound never rules out a pair that is near enough."""
+    rnd = random.Random(15)
+    base = [rnd.getrandbits(64) for _ in range(200)]
+    sets = {k: {*rnd.sample(base, rnd.randint(150, 200)), *(rnd.getrandbits(64) for _ in range(rnd.randint(0, 40)))} for k in range(40)}
+    store = spark.createDataFrame([(k, np.sort(np.array(list(s), np.uint64)).tobytes()) for k, s in sets.items()], "node long, grams binary").repartition(3)
+    got = {r["node"]: r for r in shared_grams(store, 8000, per_task=1000).collect()}
+    for k, s in sets.items():
+        core = {g for g in s if any(g in t for j, t in sets.items() if j != k)}
+        assert got[k]["core"] == len(core) and got[k]["parts"] == np.bincount([g >> 57 for g in core], minlength=128).tolist()
+    nodes = spark.createDataFrame([(k, len(s), got[k]["core"], got[k]["parts"]) for k, s in sets.items()], "node long, n_shingles long, core long, parts array<short>")
+    a, b = (nodes.select(F.struct("*").alias(name)) for name in "ab")
+    able = {(r["x"], r["y"]) for r in a.crossJoin(b).where(possible(F.col("a"), F.col("b"), 0.8)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).collect()}
+    near = {(x, y) for x in sets for y in sets if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+    assert near <= able and len(able) < 1600
+
+
+def test_near_dedup_many_variants(spark, tmp_path):
+    """A large group of copies with few to many changes, of which some are near to none: all links are found."""
+    rnd = random.Random(16)
+    ws = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(250):
+        copy = list(ws)
+        for at in rnd.sample(range(150), rnd.choice((0, 1, 2, 3, 4, 5, 8, 12))):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    df = frame(spark, rows, tmp_path, 3)
+    order = [(x["doc_id"], x["text"]) for x in df.collect()]
+    want = brute.near_classes(order)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup(df).collect()}
+    assert got == {i: order[w][0] for (i, _), w in zip(order, want, strict=True)}
+
+
 def test_cover():
     assert all(any((i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER for d in range(PERIOD)) for i in range(PERIOD) for j in range(PERIOD))
 
@@ -564,3 +608,25 @@ def test_query_contracts(spark, sf):
 def brute_classes(docs):
     rows = list(docs.items())
     return {rows[k][0]: rows[c][0] for k, c in enumerate(brute.near_classes(rows))}
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of over a megabyte, two of them equal and one with a changed end, beside short ones."""
+    rnd = random.Random(17)
+    known = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rnd.choice(known) for _ in range(200_000))
+    rows = [(1, long), (2, long), (3, long + " and an end"), (4, "short text"), (5, "z" * 1_200_000)]
+    df = frame(spark, rows, tmp_path, 2)
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup(df, carry=["doc_id"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(df).collect()} == {1: (200_000, 0), 2: (200_000, 200_000), 3: (200_003, 200_000), 4: (2, 0), 5: (1, 0)}
+    items = spark.createDataFrame([(7, " ".join(long.split()[150_000:150_020]))], "item_id long, text string")
+    assert {r["doc_id"]: len(r["spans"]) > 0 for r in decontaminate(df, items).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+    path, e = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), brute.encoding()
+    counts = {r["doc_id"]: (r["n_tokens"], r["same"]) for r in bpe(df, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", (F.col("decoded") == F.encode("text", "utf-8")).alias("same")).collect()}
+    assert counts == {i: (len(e.encode_ordinary(t)), True) for i, t in rows}
+    assert token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).where("n_tokens > 0").count() == 5
+    assert shard_by_bytes(df, 3).groupBy("shard").count().count() == 3
+    assert quality_scores(df, spark.createDataFrame([(k % 5 + 1, k % 2) for k in range(40)], "doc_id long, quality int"), F.lit(True)).count() == 5
+    found = language_id(df.where("doc_id <> 5"), learn=F.lit(True), lang_col="lang").collect()
+    assert len(found) == 4 and all(r["lang_pred"] == "en" for r in found)
