@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_pages, catalogue_search, catalogue_votes
+from . import catalogue_pages, catalogue_search, catalogue_streams, catalogue_votes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalogue_votes.QUERIES, **catalogue_pages.QUERIES, **catalogue_search.QUERIES}
-ORACLE_SQL: dict[str, str] = {**catalogue_votes.ORACLE_SQL, **catalogue_pages.ORACLE_SQL, **catalogue_search.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalogue_votes.QUERIES, **catalogue_pages.QUERIES, **catalogue_search.QUERIES, **catalogue_streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**catalogue_votes.ORACLE_SQL, **catalogue_pages.ORACLE_SQL, **catalogue_search.ORACLE_SQL, **catalogue_streams.ORACLE_SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

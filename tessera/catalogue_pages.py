@@ -11,13 +11,15 @@ from .functions.sniff import body_within, looks_like_html, may_have_retail
 from .functions.text import chunks, normalize_whitespace, tokens, truncate
 from .functions.urls import canonicalize, host_key, owner, store_name
 from .operators.adapters import Adapter, load_dir
-from .operators.extract import Registry
-from .operators.frontier import Frontier, entries, modulo, newest_lists
+from .operators.extract import Registry, Web, web_observations
+from .operators.frontier import Frontier, entries, modulo, newest_lists, owners
 from .operators.graph import Graph, link_degree
+from .operators.quorum import reconcile_web
 from .operators.retail import extract as extract_retail
 from .runtime import ship
+from .schemas import QuorumParams
 from .sources.robots import with_robots
-from .sources.tables import merge, pages_of
+from .sources.tables import pages_of
 
 
 def sha_id(text: Column) -> Column:
@@ -49,7 +51,7 @@ def page_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_link_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out- and in-degree in the graph of all pages."""
     docs = _read(spark, sf_dir).select("url", "p.links")
-    return link_degree(Graph.of_pages(docs).edges)
+    return link_degree(Graph.of_pages(docs).edges).withColumn("url", F.url_decode("url"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +105,42 @@ def frontier_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known rows keep their state; new ones are added; then some are replaced by key."""
+    """Known rows keep their state; new URLs are added; then some are recorded twice, of which the later one stays."""
     ship(spark)
-    half = _aged(spark, sf_dir).where(F.substring(F.hex("id"), 1, 1) < "8")
-    new = _frontier(spark, sf_dir).join(half.select("id"), "id", "left_anti")
-    grown = Frontier(half).table.unionByName(new.select(*half.columns))
-    touched = grown.where(F.lower(F.substring(F.hex("id"), 1, 1)) == "f").withColumn("last_crawled", F.lit(7).cast("long"))
-    return merge(grown, touched, "id").select("url", "last_crawled")
+    known = Frontier(_aged(spark, sf_dir).where(F.substring(F.hex("id"), 1, 1) < "8"), make_id=sha_id)
+    grown = known.discover(table(spark, sf_dir, "pages"))
+    some = grown.table.where(F.lower(F.substring(F.hex("id"), 1, 1)) == "f")
+    times = some.withColumn("last_crawled", F.lit(7).cast("long")).unionByName(some.withColumn("last_crawled", F.lit(3).cast("long")))
+    return grown.record(times).scan().select("url", "last_crawled")
+
+
+def frontier_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier of lists, each with a site's pages twice; some rows by id, and which nodes hold them."""
+    ship(spark)
+    pages = table(spark, sf_dir, "pages")
+    lists = pages.groupBy(host_key(F.col("url")).alias("host")).agg(F.collect_list("url").alias("urls"))
+    frontier = Frontier.empty(spark, make_id=sha_id).subscribe(lists).subscribe(lists)
+    some = frontier.get(frontier.table.where(F.substring(F.hex("id"), 1, 1) < "8"))
+    return owners(some.select("url", "id"), 5, 3).select("url", "copy", F.col("node").cast("int").alias("node"))
+
+
+def registry_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all extractors together find in all kinds of shop pages, by extractor."""
+    ship(spark)
+    pages = _shop_html(spark, sf_dir).unionByName(_shop_json(spark, sf_dir)).unionByName(_shop_api(spark, sf_dir))
+    found = Registry.with_defaults(load_dir()).observations(pages)
+    return found.groupBy("seq", "method").agg(F.count("*").alias("rows"), F.sum("price_minor").alias("price_minor"), F.sum("quantity").alias("quantity"), F.count_distinct("store").alias("stores"))
+
+
+def web_observation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two observers saw of each page, one of them of half of the pages changed; agreed where both saw the same."""
+    ship(spark)
+    pages = pages_of(table(spark, sf_dir, "pages"), fetched_at=5)
+    docs = Web().extract(pages, lambda b: F.unhex(F.sha2(b, 256)))
+    one = web_observations(docs, F.lit("a"), F.lit(5), F.lit(1))
+    other = web_observations(docs, F.lit("b"), F.lit(6), F.lit(1))
+    changed = other.withColumn("source_hash", F.when(F.length("url") % 2 == 0, F.unhex(F.sha2("url", 256))).otherwise(F.col("source_hash")))
+    return reconcile_web(one.unionByName(changed), 10, QuorumParams(2, 3_600, 0)).select("url", F.lower(F.hex("source_hash")).alias("source_hash"), "support", "dissent")
 
 
 def newest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,13 +234,15 @@ def registry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Registry.with_defaults(load_dir()).applicable(pages).groupBy("seq", "kind").agg(F.count("*").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (page_titles, page_links, page_visible_text, page_link_degree, chunk_documents, snippets, tokenize_df, canonical_urls, frontier_dedup, frontier_due, frontier_assignment, frontier_discover, newest_list, sniff_pages, robots_allowed, adapter_shopify, adapter_rejects, adapter_jsonld, adapter_woocommerce, retail_markup, registry_kinds)}
+QUERIES = {f.__name__: f for f in (page_titles, page_links, page_visible_text, page_link_degree, chunk_documents, snippets, tokenize_df, canonical_urls, frontier_dedup, frontier_due, frontier_assignment, frontier_discover, frontier_subscribe, registry_observations, web_observation_rows, newest_list, sniff_pages, robots_allowed, adapter_shopify, adapter_rejects, adapter_jsonld, adapter_woocommerce, retail_markup, registry_kinds)}
 
 SQUEEZED = r"trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
 FRONTIER = "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url, sha256(regexp_replace(url, '#.*$', '')) AS id FROM pages"
 NODE = "CAST(('0x' || substr(id, 15, 2) || substr(id, 13, 2) || substr(id, 11, 2) || substr(id, 9, 2) || substr(id, 7, 2) || substr(id, 5, 2) || substr(id, 3, 2) || substr(id, 1, 2)) AS UBIGINT) % {n}"
 AGED = f"SELECT url, id, CASE WHEN h % 3 <> 0 THEN h % 1000 END AS last_crawled FROM (SELECT *, CAST('0x' || substr(id, 1, 4) AS BIGINT) AS h FROM ({FRONTIER}))"
-HREFS = r"regexp_extract_all(html, '<a [^>]*?href=\"([^\"#][^\"]*)\"', 1)"
+UNESCAPED = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<nav>.*?(</nav>|$)', ' ', 'g'), '(?s)<footer>.*?(</footer>|$)', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*(>|$)', ' ', 'g')"
+VISIBLE = rf"SELECT page_id, url, html, nullif(trim(regexp_replace({UNESCAPED.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), '') AS title, trim(regexp_replace({UNESCAPED.format(x=BARE)}, '[\s\x{{A0}}]+', ' ', 'g')) AS body FROM pages"
 
 ORACLE_SQL = {
     "chunk_documents": f"""
@@ -231,6 +264,13 @@ ORACLE_SQL = {
     "frontier_due": f"SELECT url, last_crawled FROM (SELECT *, {NODE.format(n=3)} AS node FROM ({AGED})) WHERE node = 1 ORDER BY CASE WHEN last_crawled IS NULL THEN 0 ELSE 1 END, greatest(900 - last_crawled, 0) DESC, id LIMIT 50",
     "frontier_assignment": f"SELECT CAST({NODE.format(n=5)} AS INTEGER) AS node, count(*) AS urls FROM ({FRONTIER}) GROUP BY 1",
     "frontier_discover": f"SELECT url, CAST(CASE WHEN id LIKE 'f%' THEN 7 WHEN id < '8' THEN last_crawled END AS BIGINT) AS last_crawled FROM ({AGED})",
+    "page_visible_text": f"""
+        SELECT page_id, CAST(length(body) AS INTEGER) AS n_chars, sha256(body) AS sha256, CASE WHEN length(body) <= 200 THEN body ELSE regexp_replace(body[1:200], ' [^ ]*$', '') || '…' END AS snippet,
+               CAST((len(list_filter(string_split(body, ' '), lambda w: w <> '')) + 255) // 256 AS INTEGER) AS n_chunks FROM ({VISIBLE})""",
+    "page_link_degree": """
+        WITH e AS (SELECT DISTINCT url AS src, regexp_extract(url, '^https?://[^/]+') || unnest(regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1)) AS dst FROM pages)
+        SELECT url, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS url, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY url""",
+    "frontier_subscribe": f"SELECT url, copy, CAST((CAST({NODE.format(n=5)} AS BIGINT) + copy) % 5 AS INTEGER) AS node FROM (SELECT *, CAST(unnest(range(3)) AS INTEGER) AS copy FROM ({FRONTIER}) WHERE id < '8')",
     "newest_list": "SELECT CAST(o_custkey AS VARCHAR) AS id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS name FROM orders GROUP BY o_custkey",
     "sniff_pages": r"""
         SELECT page_id, CASE page_id % 4 WHEN 1 THEN true WHEN 2 THEN false ELSE h END AS is_html,
@@ -264,3 +304,8 @@ ORACLE_SQL = {
         SELECT 0 AS seq, 'web' AS kind, count(*) AS pages FROM part UNION ALL SELECT 1, 'retail', count(*) FROM part UNION ALL SELECT 2, 'retail', count(*) FROM part WHERE p_partkey % 7 <> 0
         UNION ALL SELECT 3, 'retail', count(*) FROM part WHERE p_partkey % 19 <> 0 UNION ALL SELECT 4, 'retail', count(*) FROM part""",
 }
+ORACLE_SQL["registry_observations"] = f"""
+    SELECT seq, method, count(*) AS rows, CAST(sum(price_minor) AS BIGINT) AS price_minor, CAST(sum(quantity) AS BIGINT) AS quantity, count(DISTINCT store) AS stores
+    FROM (SELECT CAST(1 AS BIGINT) AS seq, * FROM ({ORACLE_SQL["retail_markup"]}) UNION ALL SELECT 2, * FROM ({ORACLE_SQL["adapter_jsonld"]})
+          UNION ALL SELECT 3, * FROM ({ORACLE_SQL["adapter_shopify"]}) UNION ALL SELECT 4, * FROM ({ORACLE_SQL["adapter_woocommerce"]})) GROUP BY seq, method"""
+ORACLE_SQL["web_observation_rows"] = "SELECT url, sha256(html) AS source_hash, CAST(2 AS BIGINT) AS support, CAST(0 AS BIGINT) AS dissent FROM pages WHERE length(url) % 2 = 1"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue_pages import sha_id
+from .catalogue_pages import VISIBLE, sha_id
 from .catalogue_votes import table
 from .functions.hashing import fnv1a_64, hash_embed, source_hash, to_hex
 from .functions.html import page
@@ -14,11 +14,13 @@ from .functions.text import body_of, chunks, format_int, format_storage, format_
 from .functions.vectors import centroids, dequantize_int8, int8_scale, quantize_binary, quantize_int8, signs, similarity, top_k_many, vector_bytes
 from .operators.extract import Registry
 from .operators.frontier import Frontier
-from .operators.graph import Graph, link_degree, personalized_pagerank
-from .operators.search import blend, bm25, lengths, merge_answers, postings, reciprocal_ranks
+from .operators.graph import Graph, link_degree, min_pagerank, personalized_pagerank
+from .operators.query_syntax import parse
+from .operators.search import Index, blend, bm25, lengths, merge_answers, postings, query_scores, reciprocal_ranks
 from .operators.stats import rollup, simple_search
 from .plans.pages import build
-from .runtime import ship
+from .runtime import ship, stable
+from .schemas import EmbeddingSpace
 from .sources.tables import pages_of
 
 TERMS = ["tion", "the", "lation"]
@@ -99,31 +101,70 @@ def page_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", to_hex(source_hash(F.encode("html", "utf-8"))).alias("source_hash"))
 
 
+def _ranked(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
+    """Documents by keywords, with scores rounded so that their order doesn't hang on the last bits."""
+    return _scores(spark, sf_dir, terms).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest to the first one; a vector belongs to the document of its number."""
+    rows = _vectors(spark, sf_dir)
+    first = rows.where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+    near = top_k_many(rows, first, 20, "vec_id", "embedding")
+    return near.select(F.col("vec_id").alias("doc_id"), F.round(similarity(F.col("distance")), 6).alias("score"))
+
+
 def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword hits raised by vector hits, both cut to 20 first; scores are made from ids."""
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("url_id"), F.concat(F.lit("u"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), "title", "snippet")
-    keyword = docs.where("url_id % 2 = 0").select("url", "title", "snippet", (F.col("url_id") * 7919 % 1000 / 100.0).alias("score")).orderBy(F.desc("score"), "url").limit(20)
-    near = docs.select("url_id", (1.0 / (1 + F.col("url_id") * 104_729 % 997 / 500.0)).alias("score")).orderBy(F.desc("score"), "url_id").limit(20)
-    out = blend(keyword, near, docs, 30)
+    """The best 20 keyword hits raised by the 20 nearest vectors, then the hits by vector alone. Two documents share a URL."""
+    docs = _docs(spark, sf_dir).withColumnRenamed("doc_id", "url_id").withColumn("url", F.concat(F.lit("u"), F.floor(F.col("url_id") / 2).cast("string")))
+    best = _ranked(spark, sf_dir, ["the", "enthe"]).withColumnRenamed("doc_id", "url_id").join(docs, "url_id")
+    keyword = best.groupBy("url").agg(F.max("score").alias("score"), F.max("title").alias("title"), F.max("snippet").alias("snippet")).orderBy(F.desc("score"), "url").limit(20)
+    out = blend(keyword, _near(spark, sf_dir).withColumnRenamed("doc_id", "url_id"), docs, 30)
     return out.select("url", "tier", F.round("score", 6).alias("score"))
 
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank fusion of two top lists."""
-    rows = table(spark, sf_dir, "documents")
-    a = rows.select("doc_id", (F.col("doc_id") * 7919 % 1009).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-    b = rows.select("doc_id", (F.col("doc_id") * 104_729 % 1013).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-    return reciprocal_ranks([a, b], "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    """Reciprocal rank fusion of two whole keyword lists and a vector list."""
+    lists = [_ranked(spark, sf_dir, ["the"]), _ranked(spark, sf_dir, ["que"]), _near(spark, sf_dir)]
+    return reciprocal_ranks(lists, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
 def merged_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of three sources as one list of 40, with the flag that all of them answered."""
     docs = _docs(spark, sf_dir)
-    hits = lambda part, factor: docs.where(F.col("doc_id") % 3 <= part).select("url", "title", "snippet", (F.col("doc_id") * factor % 1009 / 10.0).alias("score"))
-    out, complete = merge_answers({"local": hits(0, 7919), "peer": hits(1, 104_729), "indexer": hits(2, 1_299_709)}, ["local", "peer", "indexer"], 40)
+    hits = lambda *terms: docs.join(_ranked(spark, sf_dir, list(terms)), "doc_id").select("url", "title", "snippet", "score")
+    out, complete = merge_answers({"local": hits("the"), "peer": hits("the", "que"), "indexer": hits("die")}, ["local", "peer", "indexer"], 40)
     return out.select("url", "score", "source", F.round("rank", 9).alias("rank"), F.lit(complete).alias("complete"))
 
 
+def keyword_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that match a query with a phrase, a field, signs and operators."""
+    docs = _docs(spark, sf_dir)
+    query = parse('(the AND "of the") title:que -die', ("title", "body", "url"))
+    return query_scores(stable(postings(docs, "doc_id")), stable(lengths(docs, "doc_id")), docs, query, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's index over all documents in a space of plain floats, asked for keywords and vectors at once, after one document was replaced."""
+    ship(spark)
+    docs = _docs(spark, sf_dir).select("doc_id", F.unhex(F.sha2("url", 256)).alias("url_id"), "url", "title", "snippet", chunks(F.col("body")).alias("chunks"))
+    fields = docs.select("url_id", "title", body_of(F.col("chunks")).alias("body"))
+    index = Index(spark, docs.drop("doc_id"), stable(postings(fields)), stable(lengths(fields)))
+    index.register_space(space := EmbeddingSpace("test", 2))
+    index.register_embedder(space.id, lambda lists: [[1.0, 0.0] for _ in lists])
+    turn = F.array((F.col("doc_id") % 10).cast("float"), F.lit(1.0).cast("float"))
+    index.upsert_vectors(space.id, docs.select("url_id", turn.alias("values")))
+    index.upsert(docs.where("doc_id = 0").select("url_id", "url", F.lit("zzz").alias("title"), F.lit("zzz").alias("snippet"), F.array().cast("array<struct<ordinal:int,text:string>>").alias("chunks")))
+    hits = index.search("enthe +zzz", 5, index.served_spaces()[0])
+    return hits.select("url", "title", F.round("score", 4).alias("score"))
+
+
+def min_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lesser of two ranks, from one iteration each with seeds of its own."""
+    seeds = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    return min_pagerank(_edges(spark, sf_dir), [seeds("s1", "s2"), seeds("s3")], iterations=1).select("node", F.round("rank", 9).alias("rank"))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("s"), (F.col("l_partkey") % 120).cast("string")).alias("dst"))
@@ -174,11 +215,14 @@ def ui_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch from pages to tables, as counts of what it made."""
+    """The whole batch from pages to tables, as counts of what it made; and what a second run over the same pages makes."""
     ship(spark)
-    pages = pages_of(table(spark, sf_dir, "pages"), fetched_at=1)
-    t = build(pages, Frontier.empty(spark), now=10, make_id=sha_id, hash_body=lambda b: F.unhex(F.sha2(b, 256)))
-    parts = {"docs": t.docs, "chunks": t.docs.select(F.explode("chunks")), "edges": t.graph.edges, "crawled": t.frontier.table.where("last_crawled = 10"), "rejects": t.rejects, "vectors": t.vectors}
+    html = table(spark, sf_dir, "pages")
+    pages = pages_of(html.withColumn("url", F.struct("url", "page_id"))).select(F.col("url.url").alias("url"), "status", "content_type", "body", F.col("url.page_id").alias("fetched_at"))
+    hash_body = lambda b: F.unhex(F.sha2(b, 256))
+    t = build(pages, Frontier.empty(spark, make_id=sha_id), now=10, hash_body=hash_body)
+    again = build(pages, t.frontier, now=20, hash_body=hash_body)
+    parts = {"docs": t.docs, "chunks": t.docs.select(F.explode("chunks")), "edges": t.graph.edges, "known": t.frontier.table, "crawled": t.frontier.table.where("last_crawled = 10"), "rejects": t.rejects, "vectors": t.vectors, "docs again": again.docs, "crawled again": again.frontier.table.where("last_crawled = 20")}
     out = None
     for name, df in parts.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -193,17 +237,29 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(pages.where(looks_like_html(F.col("content_type"), F.col("body"))).agg(F.lit("sniffed").alias("kind"), F.count("*").alias("pages")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_scores, bm25_topk, page_search, vector_centroid, vector_topk_exact, quantize_int8_rows, quantize_binary_rows, fnv_hash, hash_embed_documents, page_hashes, blend_search, fused_search, merged_answer, graph_degree, graph_add_edges, page_rank, stats_rollup, ui_search, ui_labels, ui_numbers, build_index, html_pages)}
+QUERIES = {f.__name__: f for f in (bm25_scores, bm25_topk, page_search, vector_centroid, vector_topk_exact, quantize_int8_rows, quantize_binary_rows, fnv_hash, hash_embed_documents, page_hashes, blend_search, fused_search, merged_answer, keyword_syntax, index_search, min_rank, graph_degree, graph_add_edges, page_rank, stats_rollup, ui_search, ui_labels, ui_numbers, build_index, html_pages)}
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 EDGES = "SELECT 's' || l_suppkey AS src, 's' || l_partkey % 120 AS dst FROM lineitem"
-BM25 = f"""
-    WITH d AS (SELECT doc_id, unnest([struct_pack(f := 'title', w := {TOKENS.format(x="split_part(text, '.', 1)")}), struct_pack(f := 'body', w := {TOKENS.format(x="text")})], recursive := true) FROM documents),
+
+
+def _bm25(texts: str, id_col: str, *terms: str) -> str:
+    """SQL of scores over ``texts`` (the id, title, body)."""
+    values = ", ".join(f"('{t}')" for t in terms)
+    return f"""
+    WITH d AS (SELECT {id_col}, unnest([struct_pack(f := 'title', w := {TOKENS.format(x="coalesce(title, '')")}), struct_pack(f := 'body', w := {TOKENS.format(x="body")})], recursive := true) FROM ({texts})),
     s AS (SELECT f, count(*) AS n, avg(len(w)) AS a FROM d GROUP BY f),
-    p AS (SELECT doc_id, f, len(w) AS l, t, len(list_filter(w, lambda x: x = t)) AS tf FROM d, (VALUES ('the'), ('enthe'), ('que')) q(t) WHERE list_contains(w, t)),
+    p AS (SELECT {id_col}, f, len(w) AS l, t, len(list_filter(w, lambda x: x = t)) AS tf FROM d, (VALUES {values}) q(t) WHERE list_contains(w, t)),
     k AS (SELECT f, t, count(*) AS df FROM p GROUP BY f, t)
-    SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score
-    FROM p JOIN k USING (f, t) JOIN s USING (f) GROUP BY doc_id"""
+    SELECT {id_col}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score
+    FROM p JOIN k USING (f, t) JOIN s USING (f) GROUP BY {id_col}"""
+
+
+DOC_TEXTS = "SELECT doc_id, split_part(text, '.', 1) AS title, text AS body FROM documents"
+PAGE_TEXTS = f"SELECT url, title, regexp_replace(body, '((?:[^ ]+ ){{255}}[^ ]+) ', '\\1\n', 'g') AS body FROM ({VISIBLE})"
+BM25 = _bm25(DOC_TEXTS, "doc_id", "the", "enthe", "que")
+LATEST = "SELECT page_id, url, html FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(url, '#.*$', '') ORDER BY page_id DESC) AS rn FROM pages) WHERE rn = 1"
+NEAR = "SELECT e.vec_id AS doc_id, round(1 / (1 + greatest(0, least(2, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))))), 6) AS score, greatest(0, least(2, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) AS d FROM embeddings q, embeddings e WHERE q.vec_id = 0 ORDER BY d, e.vec_id LIMIT 20"
 FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda b: CAST('0x' || b AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
 
 ORACLE_SQL = {
@@ -230,23 +286,58 @@ ORACLE_SQL = {
         v AS (SELECT doc_id, CAST(h % {DIM} AS BIGINT) AS i, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END) AS s FROM t JOIN h USING (t) GROUP BY doc_id, i)
         SELECT doc_id, string_agg(CAST(CAST(coalesce(sign(s), 0) AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS signs, CASE WHEN sum(s * s) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
         FROM (SELECT doc_id, i FROM documents, range({DIM}) r(i)) LEFT JOIN v USING (doc_id, i) GROUP BY doc_id""",
-    "blend_search": """
-        WITH d AS (SELECT doc_id AS url_id, 'u' || doc_id // 2 AS url FROM documents),
-        k AS (SELECT url, url_id * 7919 % 1000 / 100.0::DOUBLE AS score FROM d WHERE url_id % 2 = 0 ORDER BY score DESC, url LIMIT 20),
-        n AS (SELECT url, 0.25 / (1 + url_id * 104729 % 997 / 500.0::DOUBLE) AS b FROM d ORDER BY b DESC, url_id LIMIT 20),
+    "blend_search": f"""
+        WITH b AS ({_bm25(DOC_TEXTS, "doc_id", "the", "enthe")}),
+        k AS (SELECT 'u' || doc_id // 2 AS url, max(score) AS score FROM b GROUP BY 1 ORDER BY score DESC, url LIMIT 20),
+        n AS (SELECT 'u' || doc_id // 2 AS url, 0.25 * score AS b FROM ({NEAR}) JOIN documents USING (doc_id)),
         g AS (SELECT url, sum(b) AS s, max(b) AS m FROM n GROUP BY url)
         SELECT coalesce(k.url, g.url) AS url, CASE WHEN k.url IS NULL THEN 1 ELSE 0 END AS tier, round(CASE WHEN k.url IS NULL THEN m ELSE score + coalesce(s, 0) END, 6) AS score
         FROM k FULL JOIN g ON k.url = g.url ORDER BY tier, score DESC, url LIMIT 30""",
-    "fused_search": """
-        WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id * 7919 % 1009 DESC, doc_id) AS r FROM documents QUALIFY r <= 50),
-        b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id * 104729 % 1013 DESC, doc_id) AS r FROM documents QUALIFY r <= 50)
-        SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""",
-    "merged_answer": """
-        WITH h AS (SELECT 'doc:' || doc_id AS url, doc_id * 7919 % 1009 / 10.0::DOUBLE AS score, 'local' AS source, 0 AS o FROM documents WHERE doc_id % 3 <= 0
-                   UNION ALL SELECT 'doc:' || doc_id, doc_id * 104729 % 1009 / 10.0::DOUBLE, 'peer', 1 FROM documents WHERE doc_id % 3 <= 1
-                   UNION ALL SELECT 'doc:' || doc_id, doc_id * 1299709 % 1009 / 10.0::DOUBLE, 'indexer', 2 FROM documents),
-        b AS (SELECT url, score, source FROM h QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, o) = 1)
+    "fused_search": f"""
+        WITH a AS ({_bm25(DOC_TEXTS, "doc_id", "the")}), b AS ({_bm25(DOC_TEXTS, "doc_id", "que")}), c AS ({NEAR}),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM a UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM b
+              UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM c)
+        SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM r GROUP BY doc_id""",
+    "merged_answer": f"""
+        WITH l AS ({_bm25(DOC_TEXTS, "doc_id", "the")}), p AS ({_bm25(DOC_TEXTS, "doc_id", "the", "que")}), i AS ({_bm25(DOC_TEXTS, "doc_id", "die")}),
+        h AS (SELECT doc_id, score, 'local' AS source, 0 AS o FROM l UNION ALL SELECT doc_id, score, 'peer', 1 FROM p UNION ALL SELECT doc_id, score, 'indexer', 2 FROM i),
+        b AS (SELECT 'doc:' || doc_id AS url, score, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) AS rn FROM h) WHERE rn = 1)
         SELECT url, score, source, round(1.0::DOUBLE / row_number() OVER (ORDER BY score DESC, url), 9) AS rank, true AS complete FROM b ORDER BY score DESC, url LIMIT 40""",
+    "keyword_syntax": f"""
+        WITH d AS (SELECT doc_id, unnest([struct_pack(f := 'title', w := {TOKENS.format(x="title")}), struct_pack(f := 'body', w := {TOKENS.format(x="body")})], recursive := true) FROM ({DOC_TEXTS})),
+        s AS (SELECT f, count(*) AS n, avg(len(w)) AS a FROM d GROUP BY f),
+        p AS (SELECT doc_id, f, len(w) AS l, t, len(list_filter(w, lambda x: x = t)) AS tf FROM d, (VALUES ('the'), ('of'), ('que'), ('die')) q(t) WHERE list_contains(w, t)),
+        k AS (SELECT f, t, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p JOIN s USING (f) GROUP BY f, t),
+        x AS (SELECT doc_id, t, f, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) AS score FROM p JOIN k USING (f, t) JOIN s USING (f)),
+        y AS (SELECT doc_id, f, l, len(regexp_extract_all(' ' || replace(array_to_string(w, ' '), ' ', '  ') || ' ', ' of  the ')) AS tf FROM (SELECT *, len(w) AS l FROM d)),
+        z AS (SELECT doc_id, sum((SELECT sum(idf) FROM k WHERE k.f = y.f AND t IN ('of', 'the')) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM y JOIN s USING (f) WHERE tf > 0 GROUP BY doc_id),
+        b AS (SELECT z.doc_id, z.score + u.score AS score FROM z JOIN (SELECT doc_id, sum(score) AS score FROM x WHERE t = 'the' GROUP BY doc_id) u ON z.doc_id = u.doc_id),
+        c AS (SELECT doc_id, score FROM b UNION ALL SELECT doc_id, score FROM x WHERE t = 'que' AND f = 'title')
+        SELECT doc_id, round(sum(score), 6) AS score FROM c WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE t = 'die') GROUP BY doc_id""",
+    "index_search": """
+        WITH t AS (SELECT 'doc:' || doc_id AS url, split_part(text, '.', 1) AS title, 0.25 / (1 + greatest(0, 1 - (doc_id % 10) / sqrt((doc_id % 10) * (doc_id % 10) + 1.0::DOUBLE))) AS v, sha256('doc:' || doc_id) AS id, doc_id FROM documents),
+        n AS (SELECT * FROM t ORDER BY round(v, 9) DESC, id LIMIT 5),
+        m AS (SELECT count(*) AS n, (sum(len({tokens_t})) + 1.0::DOUBLE) / count(*) AS a FROM (SELECT CASE WHEN doc_id = 0 THEN '' ELSE split_part(text, '.', 1) END AS x FROM documents))
+        SELECT 'doc:0' AS url, 'zzz' AS title, round(ln(1 + (n - 0.5) / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 / a)), 4) AS score FROM m
+        UNION ALL SELECT * FROM (SELECT url, title, round(v, 4) AS score FROM n ORDER BY score DESC, url LIMIT 4)""".replace("{tokens_t}", TOKENS.format(x="x")),
+    "min_rank": f"""
+        WITH w AS (SELECT src, dst, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS share FROM ({EDGES}) GROUP BY src, dst),
+        q AS (SELECT * FROM (VALUES (1, 's1', 0.5), (1, 's2', 0.5), (2, 's3', 1.0)) q(k, seed, first)),
+        g AS (SELECT k, dst AS node, sum(first * share) AS got FROM q JOIN w ON src = seed GROUP BY k, dst),
+        b AS (SELECT q.k, q.seed AS node, (1 - 0.85 * coalesce((SELECT sum(got) FROM g WHERE g.k = q.k), 0)) * first AS back FROM q),
+        r AS (SELECT k, node, 0.85 * got AS x FROM g UNION ALL SELECT k, node, back FROM b),
+        t AS (SELECT k, node, sum(x) AS x FROM r GROUP BY k, node)
+        SELECT node, round(CASE WHEN count(*) = 2 THEN min(x) ELSE 0 END, 9) AS rank FROM t GROUP BY node""",
+    "build_index": f"""
+        WITH l AS ({LATEST}), v AS ({VISIBLE.replace("FROM pages", "FROM l")}), n AS (SELECT CAST(sum((len(list_filter(string_split(body, ' '), lambda w: w <> '')) + 255) // 256) AS BIGINT) AS chunks, count(*) AS docs FROM v),
+        e AS (SELECT regexp_extract(url, '^https?://[^/]+') AS host, unnest(regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1)) AS h FROM l),
+        c AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS u FROM pages)
+        SELECT 'docs' AS name, docs AS n FROM n UNION ALL SELECT 'chunks', chunks FROM n UNION ALL SELECT 'vectors', chunks FROM n UNION ALL SELECT 'edges', count(*) FROM e
+        UNION ALL SELECT 'known', count(*) FROM (SELECT u FROM c UNION SELECT host || h FROM e) UNION ALL SELECT 'crawled', count(*) FROM c
+        UNION ALL SELECT 'rejects', 0 UNION ALL SELECT 'docs again', 0 UNION ALL SELECT 'crawled again', 0""",
+    "page_search": f"""
+        SELECT url, title, CASE WHEN length(body) <= 200 THEN body ELSE regexp_replace(body[1:200], ' [^ ]*$', '') || '…' END AS snippet, score
+        FROM ({VISIBLE}) JOIN ({_bm25(PAGE_TEXTS, "url", "the", "and", "que")}) USING (url) ORDER BY score DESC, url LIMIT 10""",
     "graph_degree": f"SELECT url, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT DISTINCT src AS url, dst AS x, 1 AS o, 0 AS i FROM ({EDGES}) UNION ALL SELECT DISTINCT dst, src, 0, 1 FROM ({EDGES})) GROUP BY url",
     "graph_add_edges": f"""
         WITH e AS (SELECT DISTINCT src, dst FROM ({EDGES}))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import url_id
 from ..functions.urls import canonicalize, owns
 from ..schemas import URL_ENTRY
+from ..sources.tables import merge
 
 
 def entries(urls: DataFrame, url: str = "url", make_id=url_id) -> DataFrame:
@@ -45,27 +46,30 @@ def owners(ids: DataFrame, nodes: int, copies: int = 1) -> DataFrame:
 class Frontier:
     """Operations on a frontier table; each gives a new table and changes nothing."""
 
-    def __init__(self, table: DataFrame, owned=all_owned):
-        self.table, self.owned = table, owned
+    def __init__(self, table: DataFrame, owned=all_owned, make_id=url_id):
+        """``make_id`` gives the id of a canonical URL; it must be the one that the table's ids were made with."""
+        self.table, self.owned, self.make_id = table, owned, make_id
 
     @classmethod
-    def empty(cls, spark: SparkSession, owned=all_owned) -> Frontier:
-        return cls(spark.createDataFrame([], URL_ENTRY), owned)
+    def empty(cls, spark: SparkSession, owned=all_owned, make_id=url_id) -> Frontier:
+        return cls(spark.createDataFrame([], URL_ENTRY), owned, make_id)
+
+    def _with(self, table: DataFrame) -> Frontier:
+        return Frontier(table, self.owned, self.make_id)
 
     def get(self, ids: DataFrame) -> DataFrame:
         return self.table.join(ids.select("id"), "id", "left_semi")
 
     def put(self, rows: DataFrame) -> Frontier:
-        """Replace or add rows by id."""
-        kept = self.table.join(rows.select("id"), "id", "left_anti")
-        return Frontier(kept.unionByName(rows.dropDuplicates(["id"]).select(*self.table.columns)), self.owned)
+        """Replace or add rows by id; of rows with one id the one crawled last stays."""
+        return self._with(merge(self.table, rows.select(*self.table.columns), "id", ["last_crawled"]))
 
     record = put
 
     def discover(self, urls: DataFrame, url: str = "url") -> Frontier:
         """Add the URLs that aren't known; known ones keep their state."""
-        new = entries(urls, url).join(self.table.select("id"), "id", "left_anti")
-        return Frontier(self.table.unionByName(new), self.owned)
+        new = entries(urls, url, self.make_id).join(self.table.select("id"), "id", "left_anti")
+        return self._with(self.table.unionByName(new))
 
     def subscribe(self, lists: DataFrame) -> Frontier:
         return self.discover(lists.select(F.explode("urls").alias("url")))
@@ -76,7 +80,8 @@ class Frontier:
         return self.table.where(self.owned(F.col("id"))).orderBy(age.desc_nulls_first(), "id").limit(limit)
 
     def scan(self) -> DataFrame:
-        return self.table
+        """All rows by id."""
+        return self.table.orderBy("id")
 
     def unchanged(self, fetched: DataFrame) -> DataFrame:
         """Fetched rows (id, content_hash, ...) whose content is what was seen last."""

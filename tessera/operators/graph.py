@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import stable
+from ..runtime import number_rows, stable
 from ..schemas import EDGE
 
 
@@ -36,7 +36,7 @@ class Graph:
         """Append edges (src, dst) that aren't there; each once, after those there are."""
         fresh = new.select("src", "dst").distinct().join(self.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
         last = self.edges.groupBy("src").agg(F.max("pos").alias("last"))
-        numbered = fresh.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("all")).select("src", F.posexplode("all").alias("k", "dst"))
+        numbered = number_rows(fresh, ["src"], [F.col("dst")], "k")
         placed = numbered.join(last, "src", "left").select("src", "dst", (F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("k")).cast("int").alias("pos"))
         return Graph(self.edges.unionByName(placed), self.sources.unionByName(fresh.select("src")).distinct())
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_embed, source_hash, url_id
+from ..functions.hashing import hash_embed, source_hash
 from ..functions.text import body_of, tokens
 from ..functions.urls import canonicalize
 from ..operators.extract import Registry, Web, indexed_docs
@@ -15,6 +15,8 @@ from ..operators.frontier import Frontier
 from ..operators.graph import Graph
 from ..operators.search import lengths, postings
 from ..operators.vectors_table import chunk_vectors
+from ..runtime import ship, stable
+from ..sources.tables import last_of
 
 
 @dataclass
@@ -35,20 +37,30 @@ class IndexTables:
         self.graph.save(f"{path}/graph")
 
 
-def build(pages: DataFrame, frontier: Frontier, now: int, space_dim: int = 64, hash_body=source_hash, make_id=url_id) -> IndexTables:
-    """Extract, index, embed, link and record pages. Pages whose content is what was seen last are skipped."""
-    keyed = pages.withColumn("id", make_id(canonicalize(F.col("url")))).withColumn("content_hash", hash_body(F.col("body")))
-    fresh = keyed.join(frontier.unchanged(keyed).select("id"), "id", "left_anti")
+def build(pages: DataFrame, frontier: Frontier, now: int, space_dim: int = 64, hash_body=source_hash) -> IndexTables:
+    """Extract, index, embed, link and record pages. Pages whose content is what was seen last are skipped.
+
+    Of a URL that was fetched several times the last fetch counts. Every page's markup is read once: what
+    was read, and the ids and hashes, are stored, and all tables are made from that.
+    """
+    ship(pages.sparkSession)
+    keyed = pages.withColumn("id", frontier.make_id(canonicalize(F.col("url")))).withColumn("content_hash", hash_body(F.col("body")))
+    marks = stable(keyed.select("url", "id", "content_hash", "fetched_at"))
+    known = stable(frontier.unchanged(marks).select("id").distinct())
+    last = stable(last_of(marks.where("id is not null").join(known, "id", "left_anti"), "id", ["fetched_at"]))
     web = Web()
-    docs = web.extract(fresh, hash_body)
-    ids = fresh.select("url", F.col("id").alias("url_id")).where("url_id is not null")
-    indexed = indexed_docs(docs, ids, now)
+    read = pages.join(last.select("url", "fetched_at").distinct(), ["url", "fetched_at"], "left_semi").dropDuplicates(["url"])
+    docs = stable(web.extract(read, hash_body))
+    indexed = indexed_docs(docs, last.select("url", F.col("id").alias("url_id")), now)
     fields = indexed.select("url_id", "title", body_of(F.col("chunks")).alias("body"))
-    seen = frontier.discover(docs.select(F.explode("discovered").alias("url"))).discover(pages.select("url"))
-    crawled = fresh.select("id", "content_hash").where("id is not null").dropDuplicates(["id"])
-    state = seen.table.join(crawled.withColumnRenamed("content_hash", "new_hash").withColumn("now", F.lit(now).cast("long")), "id", "left")
+    found = docs.select(F.explode("discovered").alias("url")).unionByName(marks.select("url"))
+    seen = frontier.discover(found)
+    crawled = last.select("id", F.col("content_hash").alias("new_hash"), F.lit(now).cast("long").alias("now"))
+    state = seen.table.join(crawled, "id", "left")
     recorded = state.select("url", "id", F.coalesce("now", "last_crawled").alias("last_crawled"), F.coalesce("new_hash", "content_hash").alias("content_hash"), "last_embedded", "applied")
-    return IndexTables(docs, indexed, postings(fields), lengths(fields), chunk_vectors(indexed, hash_embed(space_dim)), Graph.of_pages(docs), Frontier(recorded, frontier.owned), Registry([web]).rejects(fresh))
+    recorded = Frontier(stable(recorded), frontier.owned, frontier.make_id)
+    unusable = pages.join(marks.where("id is null").select("url").distinct(), "url", "left_semi")
+    return IndexTables(docs, indexed, postings(fields), lengths(fields), chunk_vectors(indexed, hash_embed(space_dim)), Graph.of_pages(docs), recorded, Registry([web]).rejects(unusable))
 
 
 def page_terms(docs: DataFrame) -> DataFrame:

@@ -14,8 +14,16 @@ def open_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` replaces rows of ``old`` with its keys and adds the rest."""
+def last_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row for each key: the last in the order of some columns (nulls first); among equals, by a hash of the row's plain columns."""
+    plain = [c for c, kind in rows.dtypes if not kind.startswith("map") and "map<" not in kind]
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order, F.xxhash64(*plain).alias("__hash"))).alias("x")
+    return rows.groupBy(F.col(key).alias("__key")).agg(best).select("x.*")
+
+
+def merge(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """``new`` replaces rows of ``old`` with its keys and adds the rest; of repeated keys in it the last in ``order`` counts."""
+    new = last_of(new, key, order or [])
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 

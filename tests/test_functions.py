@@ -34,7 +34,7 @@ def test_fnv():
         return h
 
     words = [b"", b"a", b"hello", "é日本".encode(), b"x" * 300]
-    assert hashing.fnv1a(words).tolist() == [plain(w) for w in words]
+    assert hashing.hashing.fnv1a(words).tolist() == [plain(w) for w in words]
     v = hashing.embed_tokens([["a", "b", "a"], []], 16)
     assert abs(np.linalg.norm(v[0]) - 1) < 1e-6 and not v[1].any()
     with pytest.raises(ValueError):
@@ -179,3 +179,25 @@ def test_markup():
     assert isinstance(load_json("7"), JsonNumber)
     with pytest.raises(ValueError):
         load_json("NaN")
+
+
+def test_blake3_of_many():
+    """Bodies hashed side by side give what each gives alone, for all lengths around blocks, chunks and trees; and published values."""
+    bodies = [bytes(i % 251 for i in range(n)) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 5000, 8193, 31_744, 102_400)]
+    blake3_many, blake3 = hashing.blake3_many, hashing.blake3
+    assert blake3_many(bodies) == [blake3(b) for b in bodies] == blake3_many(bodies, at_once=3000)
+    assert blake3(b"").hex().startswith("af1349b9f5f9a1a6a0404dea36dcc949") and blake3(bodies[6]).hex().startswith("42214739f095a406f3fc83deb889744a")
+    assert blake3(bodies[13]).hex().startswith("62b6960e1a44bcc1eb1a611a8d6235b6") and blake3(bodies[14]).hex().startswith("bc3e3d41a1146b069abffad3c0d44860")
+
+
+def test_fnv_of_long_tokens():
+    """A token of a megabyte beside many short ones takes no memory of the product of both."""
+    def plain(b):
+        h = 0xCBF29CE484222325
+        for x in b:
+            h = (h ^ x) * 0x100000001B3 % 2**64
+        return h
+
+    words = [b"", b"a", b"foobar", b"x" * 1_000_000, *(str(k).encode() for k in range(3000)), b"a", b"y" * 300]
+    assert hashing.fnv1a(words).tolist() == [plain(w) for w in words]
+    assert hashing.fnv1a([]).tolist() == []

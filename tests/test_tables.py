@@ -6,6 +6,7 @@ from tessera.functions.hashing import embed_tokens, url_id
 from tessera.operators import search, stats, trust
 from tessera.operators.frontier import Frontier, modulo, newest_lists, owners
 from tessera.operators.graph import Graph, min_pagerank, personalized_pagerank
+from tessera.operators.query_syntax import BadQuery, Leaf, parse, words
 from tessera.operators.ratelimit import waits
 from tessera.operators.vectors_table import re_embed
 from tessera.plans.pages import build, page_terms
@@ -210,3 +211,51 @@ def test_client(spark):
     assert status["subscribed_lists"] == [{"id": "l", "label": "Seeds", "url_count": 2}]
     total = client.stats().first()
     assert (total["docs"], total["edges"], total["spaces"], total["lists"], total["peers"], total["postings"]) == (2, 1, 0, 1, 2, 5)
+
+
+ROWS = {"1": ("Red fox", "the red fox and the dog"), "2": ("Dog", "a red dog not a fox"), "3": ("Cat and mouse", "the cat or the fox red"), "4": ("Fox red", "red red")}
+
+
+def matches(node, k):
+    """Whether document k matches a parsed query, by the meaning of its parts."""
+    if isinstance(node, Leaf):
+        if node.field == "url":
+            return node.tokens == (f"https://e.com/{k}",)
+        texts = [words(t) for name, t in zip(("title", "body"), ROWS[k], strict=True) if node.field in (None, name)]
+        n = len(node.tokens)
+        return n > 0 and any(tuple(t[i : i + n]) == node.tokens for t in texts for i in range(len(t)))
+    return not any(matches(x, k) for x in node.never) and all(matches(x, k) for x in node.must) and (bool(node.must) or any(matches(x, k) for x in node.may))
+
+
+def test_query_syntax(spark):
+    cases = {
+        "fox": "1234", "and": "13", "not": "2", "or": "3", '"red fox"': "1", '"fox red"': "34", "red-fox": "1", "title:fox": "14", "title:fox body:cat": "134", "fox AND dog": "12", "fox AND NOT dog": "34", "+fox -dog": "34",
+        "cat OR mouse": "3", "(cat OR dog) AND the": "13", "cat dog": "123", "+dog cat": "12", "-dog": "", "NOT dog": "", "url:https": "", 'url:"https://e.com/2"': "2", "... !": "", "zebra": "", "dog AND zebra": "",
+    }
+    fields = ("title", "body", "url")
+    for q, want in cases.items():
+        assert "".join(k for k in ROWS if matches(parse(q, fields), k)) == want, q
+    for q in ("AND fox", "fox AND", "(fox", "fox)", '"fox', "colour:red", "title:", "()", "", "fox OR OR dog", "fox NOT"):
+        with pytest.raises(BadQuery):
+            parse(q, fields)
+    index = search.Index(spark, docs(spark, *((k, *v) for k, v in ROWS.items())))
+    for q in ('"red fox"', "fox AND NOT dog", '(cat OR dog) AND the title:"fox red"', "+fox -dog"):
+        assert sorted(h["url"][-1] for h in index.search(q, 9).collect()) == [k for k in ROWS if matches(parse(q, fields), k)], q
+    assert index.search("(fox", 9).count() == 0
+    one, two = (index.search(q, 9).where("url like '%4'").first()["score"] for q in ("red", "red red"))
+    assert abs(two - 2 * one) < 1e-9
+
+
+def test_last_write_wins(spark):
+    f = Frontier.empty(spark).discover(urls_of(spark, "https://e.com/a"))
+    times = f.table.withColumn("last_crawled", F.explode(F.array(*(F.lit(x).cast("long") for x in (3, 9, 5, None)))))
+    assert [r["last_crawled"] for r in f.put(times.repartition(4)).scan().collect()] == [9]
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 7, "c"), (1, 6, "d"), (2, 1, "x")], "k int, at int, v string")
+    assert sorted(r["v"] for r in merge(rows.where("v = 'b'"), rows.where("v <> 'b'"), "k", ["at"]).collect()) == ["c", "x"]
+
+
+def test_graph_numbers_a_large_fan_out(spark):
+    many = spark.range(3000).select(F.lit("hub").alias("src"), F.format_string("n%05d", "id").alias("dst"))
+    g = Graph.empty(spark).add_edges(many.limit(10).union(spark.createDataFrame([("a", "b")], "src string, dst string"))).add_edges(many)
+    hub = g.edges.where("src = 'hub'").orderBy("pos").collect()
+    assert [r["pos"] for r in hub] == list(range(3000)) and len({r["dst"] for r in hub}) == 3000
