@@ -190,7 +190,7 @@ def repeated_starts(docs: DataFrame, files: np.ndarray, window: int, run: int, b
         cut = np.r_[at, len(first)]
         found = rows[first[at]]
         file = files[found >> shift] if shift else np.repeat(files, len(found))
-        return pa.table({"file": pa.array(file, pa.int64()), "place": pa.array(found & (1 << shift or 1 << 63) - 1, pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        return pa.table({"file": pa.array(file, pa.int64()), "place": pa.array(found & (1 << (shift or 63)) - 1, pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     source = docs.select("row.file", "row.place", F.col("id").cast("long").alias("id"), "text")
     sent = source.mapInArrow(send, "bucket int, h1 binary, h2 binary, id binary, row binary, start binary, known_row binary, known_start binary")
