@@ -196,15 +196,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_dedup_recall(spark):
-    """All classes of 1,000 documents are those of all pairs."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    want = [rows[k][0] for k in brute.near_classes(rows)]
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup(docs).collect()}
-    assert [got[i] for i, _ in rows] == want
-
-
 def test_shared_grams(spark):
     """Cores and parts against sets; and the bound never rules out a pair that is near enough."""
     rnd = random.Random(15)
@@ -608,25 +599,3 @@ def test_query_contracts(spark, sf):
 def brute_classes(docs):
     rows = list(docs.items())
     return {rows[k][0]: rows[c][0] for k, c in enumerate(brute.near_classes(rows))}
-
-
-def test_very_long_texts(spark, tmp_path):
-    """Texts of over a megabyte, two of them equal and one with a changed end, beside short ones."""
-    rnd = random.Random(17)
-    known = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
-    long = " ".join(rnd.choice(known) for _ in range(200_000))
-    rows = [(1, long), (2, long), (3, long + " and an end"), (4, "short text"), (5, "z" * 1_200_000)]
-    df = frame(spark, rows, tmp_path, 2)
-    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup(df, carry=["doc_id"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
-    assert {r["doc_id"]: r["class_id"] for r in near_dedup(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(df).collect()} == {1: (200_000, 0), 2: (200_000, 200_000), 3: (200_003, 200_000), 4: (2, 0), 5: (1, 0)}
-    items = spark.createDataFrame([(7, " ".join(long.split()[150_000:150_020]))], "item_id long, text string")
-    assert {r["doc_id"]: len(r["spans"]) > 0 for r in decontaminate(df, items).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
-    path, e = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), brute.encoding()
-    counts = {r["doc_id"]: (r["n_tokens"], r["same"]) for r in bpe(df, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", (F.col("decoded") == F.encode("text", "utf-8")).alias("same")).collect()}
-    assert counts == {i: (len(e.encode_ordinary(t)), True) for i, t in rows}
-    assert token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).where("n_tokens > 0").count() == 5
-    assert shard_by_bytes(df, 3).groupBy("shard").count().count() == 3
-    assert quality_scores(df, spark.createDataFrame([(k % 5 + 1, k % 2) for k in range(40)], "doc_id long, quality int"), F.lit(True)).count() == 5
-    found = language_id(df.where("doc_id <> 5"), learn=F.lit(True), lang_col="lang").collect()
-    assert len(found) == 4 and all(r["lang_pred"] == "en" for r in found)
