@@ -16,6 +16,11 @@ def head(body: Column, size: int) -> Column:
     return F.decode(F.substring(body, 1, size), "ISO-8859-1")
 
 
+def byte_for_each(text: Column) -> Column:
+    """A text with one byte for each character, ``?`` for those that aren't ASCII: the windows of these tests then count characters."""
+    return F.encode(F.regexp_replace(text, r"[^\x00-\x7F]", "?"), "ISO-8859-1")
+
+
 def looks_like_html(content_type: Column, body: Column) -> Column:
     declared = F.trim(F.coalesce(content_type, F.lit("")))
     start = F.lower(head(body, HTML_WINDOW))
@@ -23,9 +28,9 @@ def looks_like_html(content_type: Column, body: Column) -> Column:
     return F.when(declared != "", F.contains(F.lower(declared), F.lit("html"))).otherwise(F.coalesce(sniffed, F.lit(False)))
 
 
-def may_have_retail(content_type: Column, body: Column) -> Column:
-    """HTML with one of the retail marks near its start, in any case."""
-    text = F.lower(head(body, MARKUP_WINDOW))
+def may_have_retail(content_type: Column, body: Column, window: int = MARKUP_WINDOW) -> Column:
+    """HTML with one of the retail marks in its first ``window`` bytes, in any case."""
+    text = F.lower(head(body, window))
     return looks_like_html(content_type, body) & F.exists(F.array(*map(F.lit, RETAIL_MARKS)), lambda m: F.contains(text, m))
 
 

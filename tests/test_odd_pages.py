@@ -11,7 +11,7 @@ from tessera.functions.html import page_record
 
 @pytest.fixture(scope="module")
 def odd(spark, sf, tmp_path_factory):
-    """The smallest tables, in which six pages share two URLs, titles and headings end in the midst of a reference, and one page is long."""
+    """The smallest tables, in which six pages share two URLs, titles and headings end in the midst of a reference, and three pages are long."""
     folder = tmp_path_factory.mktemp("odd")
     for t in set(TABLES) - {"pages"}:
         os.symlink(f"{sf}/{t}.parquet", folder / f"{t}.parquet")
@@ -20,6 +20,10 @@ def odd(spark, sf, tmp_path_factory):
     for k, end in enumerate(("&amp", "&am", "&quot;x&amp;lt;", "&")):
         html = pages.loc[k + 10, "html"]
         pages.loc[k + 10, "html"] = html.replace("</title>", f" {end}</title>").replace("</h1>", f" {end}</h1>")
+    for k, size, letter in ((12, 65_400, "é"), (24, 65_519, "x"), (36, 65_520, "x")):  # a mark after more bytes than characters; one that starts in the window, and one that doesn't
+        row = pages["page_id"] == k
+        html = pages.loc[row, "html"].item()
+        pages.loc[row, "html"] = html.replace("</body>", letter * (size - len(html)) + "</body>")
     assert pages["url"].duplicated().sum() == 4 and pages["html"].str.contains("&amp</title>", regex=False).any()
     pages.to_parquet(folder / "pages.parquet", index=False)
     return str(folder)
@@ -43,3 +47,9 @@ def test_references():
 
 def test_page_visible_text(spark, odd):
     assert_same(spark, odd, catalogue.QUERIES["page_visible_text"], catalogue.ORACLE_SQL["page_visible_text"])
+
+
+def test_sniff_pages(spark, odd):
+    assert_same(spark, odd, catalogue.QUERIES["sniff_pages"], catalogue.ORACLE_SQL["sniff_pages"])
+    found = {r["page_id"]: r["may_have_retail"] for r in catalogue.QUERIES["sniff_pages"](spark, odd).collect()}
+    assert [found[k] for k in (12, 24, 36)] == [True, True, False]
