@@ -40,9 +40,10 @@ class Web:
         ship(pages.sparkSession)
         return pages.where(self.applies()).withColumn("p", page(F.col("url"), F.col("body")))
 
-    def extract(self, pages: DataFrame, hash_body=source_hash) -> DataFrame:
+    def extract(self, pages: DataFrame, hash_body=source_hash, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Columns of the pages in ``keep`` stay."""
         good = self._read(pages).where("p.error is null")
-        return good.select("url", "p.title", snippet(F.col("p.description"), F.col("p.text")).alias("snippet"), chunks(F.col("p.text")).alias("chunks"), "p.links", "p.discovered", hash_body(F.col("body")).alias("source_hash"))
+        return good.select(*keep, "url", "p.title", snippet(F.col("p.description"), F.col("p.text")).alias("snippet"), chunks(F.col("p.text")).alias("chunks"), "p.links", "p.discovered", hash_body(F.col("body")).alias("source_hash"))
 
     def rejects(self, pages: DataFrame) -> DataFrame:
         return self._read(pages).where("p.error is not null").select("url", F.lit(self.kind).alias("extractor"), F.col("p.error").alias("reason"))
@@ -111,5 +112,5 @@ def indexed_docs(web_docs: DataFrame, url_ids: DataFrame, now: int) -> DataFrame
     return web_docs.join(url_ids, "url").select("url", "url_id", "title", "snippet", "chunks", F.lit(now).cast("long").alias("indexed_at"), "source_hash")
 
 
-def web_observations(web_docs: DataFrame, observer: Column, observed_at: Column, seq: Column) -> DataFrame:
-    return web_docs.select(observer.alias("observer"), seq.cast("long").alias("seq"), "url", "source_hash", observed_at.cast("long").alias("observed_at"))
+def web_observations(web_docs: DataFrame, observer: Column, observed_at: Column, seq: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    return web_docs.select(*keep, observer.alias("observer"), seq.cast("long").alias("seq"), "url", "source_hash", observed_at.cast("long").alias("observed_at"))

@@ -71,13 +71,14 @@ def reconcile_retail(observations: DataFrame, now: int | Column, params: QuorumP
     return reconcile(observations, ["store", "sku"], spec, now, params).withColumnRenamed("claim", "availability")
 
 
-def reconcile_web(observations: DataFrame, now: int | Column, params: QuorumParams = QuorumParams(), per_url: bool = True) -> DataFrame:
+def reconcile_web(observations: DataFrame, now: int | Column, params: QuorumParams = QuorumParams(), per_url: bool = True, subject: list[str] | None = None) -> DataFrame:
     """Agreed content of every URL; without ``per_url``, of all rows as one subject, where other URLs split the vote.
 
-    A vote whose hash is all zero is void.
+    Where an observer saw a URL several times and each of them is to be answered, ``subject`` names the columns
+    that tell them apart; otherwise only the latest vote counts. A vote whose hash is all zero is void.
     """
     hash_ = anchor(F.col("source_hash"))
     spec = Observation(F.struct("url", "source_hash"), F.col("observed_at"), admissible=hash_.isNotNull())
-    rows = observations.withColumn("subject", F.col("url") if per_url else F.lit("all"))
-    out = reconcile(rows, ["subject"], spec, now, params)
+    rows = observations if subject else observations.withColumn("subject", F.col("url") if per_url else F.lit("all"))
+    out = reconcile(rows, subject or ["subject"], spec, now, params)
     return out.select("claim.url", "claim.source_hash", "support", "dissent")

@@ -27,8 +27,8 @@ def merge(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = No
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def pages_of(html: DataFrame, url: str = "url", body: str = "html", status: int = 200, content_type: str | None = "text/html", fetched_at: int = 0) -> DataFrame:
-    """A table of texts as fetched pages."""
-    return html.select(F.col(url).alias("url"), F.lit(status).alias("status"), F.lit(content_type).alias("content_type"), F.encode(F.col(body), "utf-8").alias("body"), F.lit(fetched_at).cast("long").alias("fetched_at"))
+def pages_of(html: DataFrame, url: str = "url", body: str = "html", status: int = 200, content_type: str | None = "text/html", fetched_at: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A table of texts as fetched pages; columns in ``keep`` stay."""
+    return html.select(*keep, F.col(url).alias("url"), F.lit(status).alias("status"), F.lit(content_type).alias("content_type"), F.encode(F.col(body), "utf-8").alias("body"), F.lit(fetched_at).cast("long").alias("fetched_at"))
 
 

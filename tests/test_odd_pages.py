@@ -16,7 +16,7 @@ def odd(spark, sf, tmp_path_factory):
     for t in set(TABLES) - {"pages"}:
         os.symlink(f"{sf}/{t}.parquet", folder / f"{t}.parquet")
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
-    pages["url"] = [f"https://twice.example.org/{i // 3}/" if i < 6 else u for i, u in enumerate(pages["url"])]
+    pages["url"] = [f"https://twice.example.org/{i // 3}" if i < 6 else u for i, u in enumerate(pages["url"])]
     for k, end in enumerate(("&amp", "&am", "&quot;x&amp;lt;", "&")):
         html = pages.loc[k + 10, "html"]
         pages.loc[k + 10, "html"] = html.replace("</title>", f" {end}</title>").replace("</h1>", f" {end}</h1>")
@@ -53,3 +53,7 @@ def test_sniff_pages(spark, odd):
     assert_same(spark, odd, catalogue.QUERIES["sniff_pages"], catalogue.ORACLE_SQL["sniff_pages"])
     found = {r["page_id"]: r["may_have_retail"] for r in catalogue.QUERIES["sniff_pages"](spark, odd).collect()}
     assert [found[k] for k in (12, 24, 36)] == [True, True, False]
+
+
+def test_web_observation_rows(spark, odd):
+    assert_same(spark, odd, catalogue.QUERIES["web_observation_rows"], catalogue.ORACLE_SQL["web_observation_rows"])
